@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import neardup, substring
+from fathom.llm import langid, neardup, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op4_language_id": langid.op4_language_id,
     "op9_near_duplicates": neardup.op9_near_duplicates,
 }
 ORACLES: dict[str, str] = {
