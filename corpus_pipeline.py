@@ -1,12 +1,56 @@
-"""The corpus pipeline: STAGES applied in turn to documents."""
+"""The corpus pipeline: language ID, near-duplicate removal, secret redaction, mixing and packing of documents.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet, and what is read back is the
+next one's docs.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathom.llm import langid, mixing, neardup, packing, secrets
+from fathom.llm.tables import cut, table
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in some language stay."""
+    return langid.accept(docs)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return neardup.keep_one(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets give way to their kind."""
+    return secrets.redact(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the budgets of their sources take them."""
+    return mixing.sampled(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's bucket, batch and slot."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify),
+    ("near_dedup", deduplicate),
+    ("secret_scan", redact),
+    ("mixing", mix),
+    ("packing", pack),
+]
+#: SQL can express neither the model of the first stage nor the classes of the second.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
