@@ -42,14 +42,13 @@ _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 def _super_kmers(w: tx.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each super-k-mer: text index, first word, number of words, minimiser, hash of its words."""
-    codes, uniq = w.coded()
     counts = w.counts()
     ends = np.repeat(w.first[1:], counts)
     at = np.flatnonzero(np.arange(w.n) + k <= ends)
     if not len(at):
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = tx.hashes(uniq)[codes]
+    h = w.hashed()
     low = tx.rolling(h, 2)  # low[i]: words i, i+1
     span, width = low, 1
     want = k - 1
@@ -169,13 +168,13 @@ def _count(blobs: list[bytes], k: int, z: zstandard.ZstdDecompressor) -> Iterato
     ids, keys, pos, words, hot = (np.concatenate([p[i] for p in parts]) for i in range(5))
     w = tx.from_packed(b"".join(p[5] for p in parts))
     del parts
-    codes, uniq = w.coded()
+    codes, _ = w.coded()
     start = np.concatenate(([0], np.cumsum(words[:-1], dtype=np.int64)))
     per = words.astype(np.int64) - k + 1
     owner = np.repeat(np.arange(len(words)), per)
     inside = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(per[:-1]))), per)
     at = start[owner] + inside
-    value = tx.rolling(tx.hashes(uniq)[codes], k)[at]
+    value = tx.rolling(w.hashed(), k)[at]
     order = np.argsort(value, kind="stable")
     same = np.flatnonzero(value[order][1:] == value[order][:-1])
     cols = np.arange(k)

@@ -15,6 +15,7 @@ import xxhash
 SEPARATORS = b" \t\n\v\f\r"
 _SEP = np.zeros(256, bool)
 _SEP[list(SEPARATORS)] = True
+_BYTE = np.random.default_rng(3).integers(1, 1 << 63, 256, np.uint64)
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
 CHUNK_BYTES = 4 << 20
 
@@ -42,6 +43,17 @@ class Words:
         a, b = self.first[d], self.first[d + 1]
         return self.buf[self.off[a] : self.off[b] - 1].tobytes() if b > a else b""
 
+    def hashed(self) -> np.ndarray:
+        """A 64-bit hash of every word, from its bytes and their places."""
+        if not self.n:
+            return np.zeros(0, np.uint64)
+        size = np.diff(self.off)
+        place = np.arange(len(self.buf)) - np.repeat(self.off[:-1], size)
+        longest = int(size.max())
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(longest, 0x9E3779B97F4A7C15, np.uint64))
+            return mix(np.add.reduceat(_BYTE[self.buf] * power[place], self.off[:-1]))
+
     def coded(self) -> tuple[np.ndarray, list[bytes]]:
         """Code of every word and the distinct words, each with its trailing space."""
         if not self.n:
