@@ -166,7 +166,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     bins = 4 * partitions(spark)
     at = [i / bins for i in range(1, bins)]
     cuts = sorted({float(c) for c in docs.agg(F.percentile_approx("doc_id", at, 10 * bins)).first()[0] or []})
-    deal = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="bin")
+    deal = Bucketizer(splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol="at", outputCol="bin")
     # null comes first; as numbers of double precision the order of doc_ids stays, and equal ones stay together
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e19)).alias("at"))
     rows = deal.transform(rows)
