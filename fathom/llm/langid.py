@@ -41,8 +41,8 @@ STATES = 6000
 #: Texts advance together in pieces of so many bytes.
 PIECE = 1024
 CONFIDENCE = 100
-#: Bits a byte beyond which a text is in no language: what bytes cost without any statistics.
-REJECT = 8.0
+#: Bits a byte beyond which a text is in no language: twice what bytes cost without any statistics.
+REJECT = 16.0
 _LETTER = regex.compile(r"\p{L}")
 
 

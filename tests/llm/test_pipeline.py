@@ -28,11 +28,12 @@ def test_stages_in_turn(spark):
 def test_edge_rows_pass_every_stage(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, bucket string"
     rows = [(1, None, None, None, None, "a"), (2, "", "en", "s1", 0, "b"), (3, "the cat", None, None, 7, "c"), (3, "the cat", None, None, 7, "c"), (None, "the dog", "en", "s1", 7, None), (4, "the end " * 20000, "en", "s1", 1, "d")]
+    rows += [(i, f"the cat and the dog of house {i} ran to the cat {i * i}", "en", f"s{i % 5}", 40, "e") for i in range(10, 40)]
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
         for _, stage in corpus_pipeline.STAGES:
             docs = cut(stage(spark, docs, DATA))
-        assert docs.count() >= (2 if data else 0)
+        assert docs.count() >= (10 if data else 0)
 
 
 def test_run(spark):
