@@ -107,3 +107,36 @@ def stratified(urls: DataFrame, root: str, url: str, most: int) -> DataFrame:
     n = F.count("*").over(Window.partitionBy(root))
     nth = F.row_number().over(Window.partitionBy(root).orderBy(url))
     return rows.withColumn("urls", n).withColumn("_n", nth).where(F.col("_n") <= most).drop("_n")
+
+
+def tree_totals(modules: DataFrame, references: DataFrame) -> DataFrame:
+    """One row over module files: modules, declarations, imports, members, equations, distinct referenced names and pairs.
+
+    ``modules``: (module, imports, declarations); ``references``: (user, name).
+    """
+    own = modules.agg(
+        F.count("*").alias("modules"),
+        F.sum(F.size("imports")).alias("imports"),
+        F.sum(F.size("declarations")).alias("declarations"),
+        F.sum(F.aggregate("declarations", F.lit(0), lambda n, d: n + F.greatest(F.size(d["members"]), F.lit(0)))).alias("members"),
+        F.sum(F.aggregate("declarations", F.lit(0), lambda n, d: n + F.greatest(F.size(d["equations"]), F.lit(0)))).alias("equations"),
+    )
+    edges = references.agg(F.countDistinct("name").alias("names"), F.countDistinct("user", "name").alias("pairs"))
+    return own.crossJoin(edges)  # one row each
+
+
+def tactics_by_module(tactics: DataFrame, module: str, order: str) -> DataFrame:
+    """Tactics of one enumeration, by the module that defines them."""
+    rest = [c for c in tactics.columns if c != module]
+    return tactics.groupBy(module).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rest if c != order]))).alias("tactics"))
+
+
+def link_report(roots: DataFrame, known: DataFrame, module_root: Column) -> DataFrame:
+    """(root, base, sample): every dependency with its base address and the least known module below it."""
+    least = known.groupBy(module_root.alias("root")).agg(F.min("module").alias("sample"))
+    return roots.select("root", "base").join(least, "root", "left")
+
+
+def full_passes(reads: DataFrame, kind: str, modules: int) -> DataFrame:
+    """Reads by kind, and how many passes over all modules they amount to."""
+    return reads.groupBy(kind).agg(F.count("*").alias("reads")).withColumn("passes", F.col("reads") / F.lit(max(1, modules)))
