@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MODES = ("self", "referrers", "importers", "all")
-
+from fathom.operators.order import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the checkpoint folder that all executors share."""
-    spark = df.sparkSession
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not folder.isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathom-"))
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-    path = f"{folder.get()}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+MODES = ("self", "referrers", "importers", "all")
 
 
 def reverse(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
@@ -39,10 +26,10 @@ def closure(seeds: DataFrame, edges: DataFrame, origin: bool = False) -> DataFra
     def step(front: DataFrame) -> DataFrame:
         return front.withColumnRenamed("node", "src").join(edges, "src").select(*keys[:-1], F.col("dst").alias("node")).distinct()
 
-    seen = front = _cut(step(start))
+    seen = front = cut(step(start))
     while not front.isEmpty():
-        front = _cut(step(front).join(seen, keys, "left_anti"))
-        seen = _cut(seen.unionByName(front))
+        front = cut(step(front).join(seen, keys, "left_anti"))
+        seen = cut(seen.unionByName(front))
     return seen
 
 

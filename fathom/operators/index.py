@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.names import utf16_key
+from fathom.operators.order import numbered
 
 
 def sorted_set(values: Column) -> Column:
@@ -53,10 +54,9 @@ def slices(entries: DataFrame, root: Column, name: str, module: str) -> DataFram
 def dictionary(values: DataFrame, value: str, limit: int | None = None) -> DataFrame:
     """(value, id): ids from 0 in the order of UTF-16 units; ``limit`` refuses larger dictionaries."""
     distinct = values.select(value).where(F.col(value).isNotNull()).distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy(utf16_key(F.col(value)))
-    out = distinct.withColumn("id", F.row_number().over(order) - 1)
+    out = numbered(distinct, [utf16_key(F.col(value))])
     if limit is not None:
-        out = out.withColumn("id", F.when(F.col("id") < limit, F.col("id")).otherwise(F.raise_error(F.lit(f"more than {limit} entries in the dictionary")).cast("int")))
+        out = out.withColumn("id", F.when(F.col("id") < limit, F.col("id")).otherwise(F.raise_error(F.lit(f"more than {limit} entries in the dictionary")).cast("long")))
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.names import fold, utf16_key, utf16_length
+from fathom.operators.order import numbered
 
 RESTART = 16
 MOST_SHARED = 254
@@ -55,18 +56,19 @@ def front_coded(names: DataFrame, name: str) -> DataFrame:
 
     Shared characters are counted in code points and at most MOST_SHARED.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy(utf16_key(F.col(name)))
-    rows = names.select(name).distinct().withColumn("id", F.row_number().over(order) - 1).withColumn("_before", F.lag(name).over(order))
+    rows = numbered(names.select(name).distinct(), [utf16_key(F.col(name))])
+    block = Window.partitionBy(F.floor(F.col("id") / RESTART)).orderBy("id")
+    rows = rows.withColumn("_before", F.lag(name).over(block))
     n = F.least(F.length(name), F.length("_before"), F.lit(MOST_SHARED))
     longest = F.size(F.filter(F.sequence(F.lit(1), n), lambda i: F.left(F.col(name), i) == F.left(F.col("_before"), i)))
-    shared = F.when((F.col("id") % RESTART == 0) | (n < 1), 0).otherwise(longest)
+    shared = F.when(F.col("_before").isNull() | (n < 1), 0).otherwise(longest)
     return rows.withColumn("shared", shared).select(name, "id", "shared", F.substring(F.col(name), F.col("shared") + 1, F.length(name)).alias("suffix"))
 
 
 def front_decoded(coded: DataFrame) -> DataFrame:
     """(id, name) of (id, shared, suffix); blocks of RESTART are independent."""
     block = F.array_sort(F.collect_list(F.struct("id", "shared", "suffix")))
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<id:int,name:string>>").alias("out"))
+    start = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<id:bigint,name:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         name = F.concat(F.left(acc["last"], x["shared"]), x["suffix"])

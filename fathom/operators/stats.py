@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.operators.order import numbered
+
 
 def phase_stats(events: DataFrame, phase: str, value: str) -> DataFrame:
     rows = events.where(F.col(phase).isNotNull()).groupBy(phase).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.max(value).alias("most"))
@@ -56,16 +58,8 @@ def character_histogram(texts: DataFrame, text: str, top: int | None = None) ->
 
 
 def systematic_sample(rows: DataFrame, order: list[str], step: int) -> DataFrame:
-    """Every ``step``-th row in order, from the first.
-
-    Only the keys are numbered: in ranges, with the sizes of the ranges before added, so no task holds all of them.
-    """
-    keys = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    sizes = keys.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = keys.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    numbered = numbered.join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p")
-    return numbered.where((F.col("_before") + F.col("_n") - 1) % step == 0).drop("_p", "_n", "_before")
+    """Every ``step``-th row in order, from the first."""
+    return numbered(rows, [F.col(c) for c in order], "_n").where(F.col("_n") % step == 0).drop("_n")
 
 
 def capped(rows: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
