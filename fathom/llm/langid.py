@@ -156,13 +156,15 @@ def score(model: Model | None, texts: list[bytes | None]) -> tuple[list[str], li
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on the bounded sample of labelled rows of ``docs`` (doc_id, text, lang)."""
     labelled = docs.select("doc_id", "lang").where("lang is not null and lang <> 'und' and doc_id is not null")
-    names = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.join(F.broadcast(names.select("lang")), "lang", "left_semi")
-    ids = ids.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= sample).select("doc_id").distinct()
+    names = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    # a share of the hashes first, about four times the sample, so that the exact cut sees few rows however many there are
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n"))
+    some = labelled.join(F.broadcast(names), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = some.select("doc_id", "lang", nth.alias("nth")).where(F.col("nth") <= sample).select("doc_id").distinct()
     rows = docs.select("doc_id", "lang", "text").where("text is not null and lang is not null and lang <> 'und'")
     texts: dict[str, list[bytes]] = {}
-    for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").toLocalIterator():
+    for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").collect():  # the bounded sample
         texts.setdefault(r.lang, []).append(r.text.encode())
     return fit({k: sorted(v) for k, v in texts.items()}) if texts else None
 
