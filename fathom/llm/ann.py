@@ -7,7 +7,7 @@ verified by its exact cosine.  A query stops when its next projected distance r
 with d_k the distance of its k-th nearest so far and F the chi-square distribution: a nearer vector that is still
 unseen would be projected this far with probability 1 - CERTAIN at most.
 
-Scale.  The upper levels of the kd-tree are fitted on at most SAMPLE projected rows and split the space into cells,
+Scale.  The upper levels of the kd-tree are fitted on about SAMPLE projected rows (those with the least hashes of vec_id) and split the space into cells,
 about CELL rows each; that is all that is broadcast.  Every row is indexed in its cell.  A query first visits its own cell,
 which bounds d_k, then only the cells that come nearer than the stopping radius.  Each task holds a cell, and inside it
 a smaller kd-tree with leaves of LEAF rows.  Equal vectors are stored once, with their k + 1 smallest ids (more
@@ -178,12 +178,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, certain: float =
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
     rows = _clean(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()
+    total = rows.count()
+    some = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, total)))
+    sample = rows.where(some).select("embedding").limit(2 * SAMPLE).toPandas()
     if sample.empty:
         return spark.createDataFrame([], result)
     points = _matrix(sample["embedding"])
     width = points.shape[1]
-    total = rows.count()
     upper = Tree(unit(points) @ projection(width), max(16, CELL * len(points) // total))
     upper.rows = []
     stop = math.sqrt(chi_square_quantile(certain))
