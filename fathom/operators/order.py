@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """End the lineage in the checkpoint folder that all executors share; one is set only where none is."""
     spark = df.sparkSession
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not folder.isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathom-"))
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-    path = f"{folder.get()}/cut-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fathom-"))
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
