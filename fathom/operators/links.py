@@ -135,3 +135,12 @@ def href_difference(actual: dict[str, Column], generated: dict[str, Column]) ->
 def target_kind(href: Column) -> Column:
     """External, fragment or internal; whether an internal one is dead takes a join with the pages."""
     return F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:|^//"), "external").when(href.startswith("#"), "fragment").otherwise("internal")
+
+
+def verified_docs(expected: DataFrame, table: DataFrame) -> DataFrame:
+    """(name, module, doc_link, state) of expected dependency names (name, module) against a site's table (name, docLink):
+    `found` if the site documents the name on the module's page, `elsewhere` if on another, `missing` if not at all."""
+    rows = expected.select("name", "module").join(table.select("name", F.col("docLink").alias("doc_link")), "name", "left")
+    page = F.regexp_replace(F.regexp_replace("doc_link", "#.*$", ""), r"^(\./)+", "")
+    state = F.when(F.col("doc_link").isNull(), "missing").when(page == N.page_path(F.col("module")), "found").otherwise("elsewhere")
+    return rows.withColumn("state", state)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import shutil
 import tomllib
+import urllib.parse
+import urllib.request
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -227,3 +230,16 @@ def site_config(path: str, allowed: tuple[str, ...] = ("title", "intro")) -> dic
     if unknown := sorted(set(found) - set(allowed)):
         raise ValueError(f"unknown keys: {', '.join(unknown)}")
     return found
+
+
+def download(url: str, path: str, timeout: float = 30.0) -> int:
+    """Fetch a remote table to a file on the driver; readers then take the file.  Only http and https; returns its bytes."""
+    if urllib.parse.urlsplit(url).scheme not in ("http", "https"):
+        raise ValueError(f"not a web address: {url}")
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    part = target.with_name(target.name + ".part")
+    with urllib.request.urlopen(url, timeout=timeout) as answer, part.open("wb") as out:  # noqa: S310
+        shutil.copyfileobj(answer, out)
+    part.replace(target)
+    return target.stat().st_size

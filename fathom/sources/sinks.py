@@ -51,6 +51,13 @@ def write_marker(path: str, facts: dict) -> None:
     _put(path, (json.dumps(facts, sort_keys=True, ensure_ascii=False, indent=1) + "\n").encode())
 
 
+def write_assets(files: dict[str, bytes], root: str) -> int:
+    """Static files by name."""
+    for name, data in files.items():
+        _put(f"{root}/{name}", data)
+    return len(files)
+
+
 def write_link_map(entries: DataFrame, modules: DataFrame, path: str, omit: DataFrame | None = None) -> None:
     """Link map text, a module after another; ``omit`` (module) leaves modules out."""
     if omit is not None:

@@ -158,6 +158,18 @@ def test_links(spark):
     assert {r.path: r.module for r in links.source_module(paths, mods).collect()} == {"A/B": "A.B", "B": "A.B", "C": None, "Odd-Name/In": "Z.«Odd-Name».In"}
 
 
+def test_dependency_docs(spark):
+    expected = spark.createDataFrame([("A.f", "A.B"), ("A.g", "A.B"), ("A.h", "A.B")], "name string, module string")
+    table = spark.createDataFrame([("A.f", "./A/B.html#A.f"), ("A.g", "./A/C.html#A.g")], "name string, docLink string")
+    assert {r.name: r.state for r in links.verified_docs(expected, table).collect()} == {"A.f": "found", "A.g": "elsewhere", "A.h": "missing"}
+    a = spark.createDataFrame([("A.f", "A"), ("A.g", "A"), ("B.x", "B")], "name string, module string")
+    b = spark.createDataFrame([("A.f", "A"), ("A.g", "C"), ("D.y", "D")], "name string, module string")
+    assert {r.name: (r.state, r.known) for r in links.compare_maps(a, b, "name", "module").collect()} == {"A.f": ("same", None), "A.g": ("moved", None), "B.x": ("only a", False), "D.y": ("only b", False)}
+    urls = spark.createDataFrame([("u", "M", 1, 2), ("v", "M", 3, 4), ("w", "M", 5, 6)], "url string, module string, first int, last int")
+    known = spark.createDataFrame([("M", 3, 4)], "module string, first int, last int")
+    assert {r.url: r.verdict for r in links.emitted_urls(urls, urls.where("url = 'u'"), known).collect()} == {"u": "exact", "v": "explained", "w": "mismatch"}
+
+
 def test_stats_and_gates(spark):
     rows = spark.createDataFrame([("g", float(v)) for v in (1, 2, 3, 4)], "g string, v double")
     assert tuple(stats.floor_percentiles(rows, "g", "v", {"p50": 0.5, "p90": 0.9}).first()) == ("g", 4, 2.0, 3.0)
