@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import text as tx
-from fathom.llm.tables import cut, partitions, table
+from fathom.llm.tables import arrow_batches, cut, partitions, table
 
 K = 13
 #: Packed bytes that one bucket should hold.
@@ -78,7 +78,7 @@ _SENT_SQL = "bucket int, hot binary, blob binary"
 
 
 def _pack(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray, words: np.ndarray, hot: np.ndarray, body: bytes, z: zstandard.ZstdCompressor) -> bytes:
-    head = struct.pack("<i", len(pos)) + ids.astype("<i8").tobytes() + keys.astype("<i8").tobytes()
+    head = struct.pack("<i", len(pos)) + np.diff(ids, prepend=0).astype("<i8").tobytes() + keys.astype("<i4").tobytes()
     head += pos.astype("<i4").tobytes() + words.astype("<i4").tobytes() + hot.astype("u1").tobytes()
     return z.compress(head + body)
 
@@ -87,9 +87,10 @@ def _unpack(blob: bytes, z: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.
     data = z.decompress(blob)
     (n,) = struct.unpack_from("<i", data)
     at, out = 4, []
-    for kind, size in (("<i8", 8), ("<i8", 8), ("<i4", 4), ("<i4", 4), ("u1", 1)):
+    for kind, size in (("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4), ("u1", 1)):
         out.append(np.frombuffer(data, kind, n, at))
         at += size * n
+    out[0] = np.cumsum(out[0])
     return (*out, data[at:])
 
 
@@ -138,8 +139,8 @@ def _send(k: int, n_buckets: int):
     return run
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("hot", pa.binary()), ("kind", pa.int8()), ("data", pa.binary())])
-_FOUND_SQL = "doc_id long, key long, hot binary, kind byte, data binary"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("key", pa.int32()), ("hot", pa.binary()), ("kind", pa.int8()), ("data", pa.binary())])
+_FOUND_SQL = "doc_id long, key int, hot binary, kind byte, data binary"
 _INTERVALS, _ANSWER, _WAITING = 0, 1, 2
 
 
@@ -168,7 +169,7 @@ def _count(blobs: list[bytes], k: int, z: zstandard.ZstdDecompressor) -> Iterato
     ids, keys, pos, words, hot = (np.concatenate([p[i] for p in parts]) for i in range(5))
     w = tx.from_packed(b"".join(p[5] for p in parts))
     del parts
-    codes, _ = w.coded()
+    codes = w.codes()
     start = np.concatenate(([0], np.cumsum(words[:-1], dtype=np.int64)))
     per = words.astype(np.int64) - k + 1
     owner = np.repeat(np.arange(len(words)), per)
@@ -247,10 +248,19 @@ def _released(k: int):
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.large_string())])
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each text, compressed for the shuffle to its intervals."""
+    z = zstandard.ZstdCompressor(level=3)
+    for batch, texts in tx.chunks(batches, "text"):
+        w = tx.words_of(texts)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(w.joined(d)) for d in range(len(texts))], pa.binary()), batch.column(2)], names=["doc_id", "text", "key"])
+
+
 def _kept(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in tx.chunks(batches, "text"):
-            w = tx.words_of(texts)
+        z = zstandard.ZstdDecompressor()
+        for batch, texts in tx.chunks(batches, "text", 1 << 20):
+            w = tx.words_of([z.decompress(t) for t in texts])
             counts = w.counts().tolist()
             removed, sha, kept = [], [], []
             for d, found in enumerate(batch.column(2).to_pylist()):
@@ -276,14 +286,15 @@ def _kept(with_text: bool):
 
 
 def repeated_words(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, key, data): for texts with repeats, lists of word intervals; key is xxhash64 of the text."""
+    """(doc_id, key, found): for texts with repeats, lists of word intervals; key is a hash of the text, for rows that share a doc_id."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).where("doc_id is not null and text is not null")
+    rows = docs.select("doc_id", "text", F.hash("text").alias("key")).where("doc_id is not null and text is not null")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(partitions(spark), -(-3 * total // BUCKET_BYTES))
     tasks = max(partitions(spark), -(-n_buckets // 8))
     sent = rows.mapInArrow(_send(k, n_buckets), _SENT_SQL)
-    found = cut(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(k), _FOUND_SQL))
+    with arrow_batches(spark, "8m"):
+        found = cut(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(k), _FOUND_SQL))
     waiting = found.where(F.col("kind") == _WAITING).select("hot", F.col("data").alias("blob"))
     answers = found.where(F.col("kind") == _ANSWER).select("hot", "data").dropDuplicates(["hot"])
     freed = waiting.join(answers, "hot").select("blob", "data").mapInArrow(_released(k), _FOUND_SQL)
@@ -294,7 +305,7 @@ def repeated_words(docs: DataFrame, k: int = K) -> DataFrame:
 def substring_dedup(docs: DataFrame, k: int = K, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text) of each row of ``docs``."""
     found = repeated_words(docs, k)
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    rows = docs.select("doc_id", "text", F.hash("text").alias("key")).mapInArrow(_squeezed, "doc_id long, text binary, key int")
     joined = rows.join(found, ["doc_id", "key"], "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 

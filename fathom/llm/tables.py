@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,18 @@ def shared(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """While a job runs here, batches sent to Python hold at most so many bytes; then the session's setting is back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back, which ends its lineage."""
     spark = df.sparkSession

@@ -16,6 +16,7 @@ SEPARATORS = b" \t\n\v\f\r"
 _SEP = np.zeros(256, bool)
 _SEP[list(SEPARATORS)] = True
 _BYTE = np.random.default_rng(3).integers(1, 1 << 63, 256, np.uint64)
+_BLOCK = 1 << 18
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
 CHUNK_BYTES = 4 << 20
 
@@ -44,23 +45,28 @@ class Words:
         return self.buf[self.off[a] : self.off[b] - 1].tobytes() if b > a else b""
 
     def hashed(self) -> np.ndarray:
-        """A 64-bit hash of every word, from its bytes and their places."""
+        """A 64-bit hash of every word, from its bytes and their places; made in blocks, which bounds the memory beside the text."""
+        out = np.empty(self.n, np.uint64)
         if not self.n:
-            return np.zeros(0, np.uint64)
-        size = np.diff(self.off)
-        place = np.arange(len(self.buf)) - np.repeat(self.off[:-1], size)
-        longest = int(size.max())
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.full(longest, 0x9E3779B97F4A7C15, np.uint64))
-            return mix(np.add.reduceat(_BYTE[self.buf] * power[place], self.off[:-1]))
-
-    def coded(self) -> tuple[np.ndarray, list[bytes]]:
-        """Code of every word and the distinct words, each with its trailing space."""
+            return out
+        edges = [0, *np.unique(np.searchsorted(self.off, np.arange(_BLOCK, len(self.buf), _BLOCK))).tolist(), self.n]
+        power = np.cumprod(np.full(int(np.diff(self.off).max()), 0x9E3779B97F4A7C15, np.uint64))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            start = self.off[a:b] - self.off[a]
+            raw = self.buf[self.off[a] : self.off[b]]
+            place = np.arange(len(raw)) - np.repeat(start, np.diff(self.off[a : b + 1]))
+            with np.errstate(over="ignore"):
+                out[a:b] = mix(np.add.reduceat(_BYTE[raw] * power[place], start))
+        return out
+
+    def codes(self) -> np.ndarray:
+        """A number for every word, equal for equal words only."""
         if not self.n:
-            return np.zeros(0, np.int64), []
+            return np.zeros(0, np.int32)
         arr = pa.Array.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(self.off), pa.py_buffer(self.buf)])
-        enc = arr.dictionary_encode()
-        return enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary.to_pylist()
+        return arr.dictionary_encode().indices.to_numpy(zero_copy_only=False)
 
 
 def words_of(texts: list[bytes | None]) -> Words:
