@@ -53,21 +53,24 @@ class Model:
         self.languages, self.step, self.cost = languages, step, cost
 
 
-def _counts(data: list[bytes], order: int) -> dict[bytes, np.ndarray]:
-    """For each context of exactly ``order`` bytes, how often each byte follows; texts begin after spaces."""
+def _counts(data: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each run of ``order`` + 1 bytes as a number, and how often it occurs; texts begin after spaces."""
     raw = np.frombuffer(b"".join(b" " * ORDER + x for x in data), np.uint8).astype(np.uint64)
     own = np.concatenate([np.arange(len(x) + ORDER) >= ORDER for x in data]) if data else np.zeros(0, bool)
     at = np.flatnonzero(own)
     key = np.zeros(len(at), np.uint64)
     for j in range(order, -1, -1):
         key = (key << np.uint64(8)) | raw[at - j]
-    value, n = np.unique(key, return_counts=True)
-    out: dict[bytes, np.ndarray] = {}
-    for v, c in zip(value.tolist(), n.tolist(), strict=True):
-        context = (v >> 8).to_bytes(order, "big")
-        if context not in out:
-            out[context] = np.zeros(256)
-        out[context][v & 255] = c
+    return np.unique(key, return_counts=True)
+
+
+def _weights(runs: list[list[tuple[np.ndarray, np.ndarray]]]) -> dict[bytes, int]:
+    """How often each context occurs in all languages; ``runs``: by language and order."""
+    out: dict[bytes, int] = {}
+    for order in range(ORDER + 1):
+        context, place = np.unique(np.concatenate([tree[order][0] >> np.uint64(8) for tree in runs]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([tree[order][1] for tree in runs]), len(context))
+        out |= {c.to_bytes(order, "big"): int(n) for c, n in zip(context.tolist(), total.tolist(), strict=True)}
     return out
 
 
@@ -75,16 +78,22 @@ def fit(texts: dict[str, list[bytes]], states: int = STATES) -> Model:
     """Build the automaton from texts by language; the most frequent contexts are its states."""
     languages = sorted(texts)
     states = max(256, 4 * states // max(4, len(languages)))
-    trees = [{k: v for order in range(ORDER + 1) for k, v in _counts(texts[x], order).items()} for x in languages]
-    weight: dict[bytes, float] = {}
-    for tree in trees:
-        for context, n in tree.items():
-            weight[context] = weight.get(context, 0) + n.sum()
+    runs = [[_counts(texts[x], order) for order in range(ORDER + 1)] for x in languages]
+    weight = _weights(runs)
     most = sorted(weight, key=lambda c: (-weight[c], len(c), c))[:states]
     number: dict[bytes, int] = {b"": 0}
     for context in sorted(most, key=lambda c: (len(c), c)):  # with all their prefixes and suffixes: else a state would depend on more than ORDER bytes
         if context and context[:-1] in number and context[1:] in number:
             number[context] = len(number)
+    trees: list[dict[bytes, np.ndarray]] = []
+    for tree in runs:
+        found: dict[bytes, np.ndarray] = {}
+        for order, (key, n) in enumerate(tree):
+            for k, c in zip(key.tolist(), n.tolist(), strict=True):
+                context = (k >> 8).to_bytes(order, "big")
+                if context in number:
+                    found.setdefault(context, np.zeros(256))[k & 255] = c
+        trees.append(found)
     step = np.zeros((len(number), 256), np.int32)
     cost = np.zeros((len(number), 256, len(languages)), np.float32)
     child: dict[bytes, list[bytes]] = {}
