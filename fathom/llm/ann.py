@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from fathom.llm.tables import cut, partitions, table
 
 DIMS = 8
-SAMPLE = 50_000
+SAMPLE = 20_000
 CELL, LEAF = 2048, 64
 CERTAIN = 0.98
 K = 5
