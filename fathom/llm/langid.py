@@ -5,15 +5,16 @@ after a context costs -log2(count / (total + kinds)); one not seen costs the esc
 plus its cost after the context without its first byte; below the empty context all 256 bytes are equally likely
 (method C, no exclusions).  The language with the shortest code of the whole text is predicted.
 
-The trees of all languages are merged into one automaton whose states are the contexts kept; a step is one table
-lookup for next state and one for the costs in all languages, so many texts advance together, a byte each.  Long
+Each tree is an automaton whose states are the contexts kept; a step is one table
+lookup for the next state and one for the cost, so many texts advance together, a byte each.  Long
 texts are cut into pieces that first read the ORDER bytes before them, which gives the same state and so exactly
 the same code length.
 
-Scale.  One pass over the text, no shuffle of it.  The model is fitted on at most SAMPLE labelled texts of each of
-at most LANGUAGES languages (those with most texts), picked by a hash of doc_id, and has at most STATES contexts, fewer
-for more than four languages;
-this is the bounded sample and the size limit of what is broadcast (about 256 * STATES * 20 bytes, 30 MB).
+Scale.  One pass over the text, no shuffle of it.  Every labelled language is learned, on at most SAMPLE labelled texts picked by a
+hash of doc_id (the bounded sample), with at most STATES contexts of its own, so its code lengths don't depend on the other languages.
+A tree is grown by one task; only trees reach the driver and are broadcast, as lists of what was seen and not as tables.
+Workers turn them into tables of 512 * STATES * 4 bytes, 12 MB, keep KEPT of these and build the others
+for each batch of texts.  Time grows in proportion to the languages.
 
 Defined results.  A text that is null or has no letter is `und` with score 0.  The score is the probability of the
 predicted language against the others when the code lengths per byte are taken CONFIDENCE bytes long: 1 if sure,
@@ -23,9 +24,11 @@ Rows with a null doc_id are held_out false (their remainder isn't 2) but never u
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,8 +39,10 @@ from fathom.llm.text import chunks
 
 ORDER = 4
 SAMPLE = 300
-LANGUAGES = 64
+#: Contexts of a language.
 STATES = 6000
+#: Languages whose tables a worker keeps, 12 MB each.
+KEPT = 8
 #: Texts advance together in pieces of so many bytes.
 PIECE = 1024
 CONFIDENCE = 100
@@ -46,11 +51,45 @@ REJECT = 16.0
 _LETTER = regex.compile(r"\p{L}")
 
 
+class Tree:
+    """Frozen statistics of one language: its contexts, level by level, with what was seen after each."""
+
+    def __init__(self, levels: list[int], parent: np.ndarray, byte: np.ndarray, shorter: np.ndarray, escape: np.ndarray, at: np.ndarray, cost: np.ndarray):
+        #: levels: the first state of each length; parent, byte, shorter: the context without its last byte, that byte, the
+        #: context without its first; escape: bits of a byte not seen; at: state * 256 + byte of those seen, and their cost
+        self.levels, self.parent, self.byte, self.shorter, self.escape, self.at, self.cost = levels, parent, byte, shorter, escape, at, cost
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """step[state * 256 + byte], the next state * 256, and cost[state * 256 + byte]."""
+        n = len(self.escape)
+        step, cost = np.zeros((n, 256), np.int32), np.full((n, 256), 8.0, np.float32)
+        for order, (a, b) in enumerate(zip(self.levels, self.levels[1:], strict=False)):
+            if order:
+                step[a:b], cost[a:b] = step[self.shorter[a:b]], cost[self.shorter[a:b]]
+            c = self.levels[min(order + 2, len(self.levels) - 1)]
+            step[self.parent[b:c], self.byte[b:c]] = np.arange(b, c, dtype=np.int32) * 256
+            cost[a:b] += self.escape[a:b, None]
+            i, j = np.searchsorted(self.at, (a * 256, b * 256))
+            cost.reshape(-1)[self.at[i:j]] = self.cost[i:j]
+        return step.ravel(), cost.ravel()
+
+
 class Model:
-    """Frozen statistics: languages, next[state, byte], cost[state, byte, language]."""
+    """The languages by name and a tree for each; the tables of the first KEPT are built once, others for each use."""
+
+    def __init__(self, languages: list[str], trees: list[Tree]):
+        self.languages, self.trees = languages, trees
+        self._built: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, languages: list[str], step: np.ndarray, cost: np.ndarray):
-        self.languages, self.step, self.cost = languages, step, cost
+    def tables(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k >= KEPT:
+            return self.trees[k].tables()
+        if k not in self._built:
+            self._built[k] = self.trees[k].tables()
+        return self._built[k]
+
+    def __reduce__(self):
+        return Model, (self.languages, self.trees)
 
 
 def _counts(data: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,63 +103,48 @@ def _counts(data: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(key, return_counts=True)
 
 
-def _weights(runs: list[list[tuple[np.ndarray, np.ndarray]]]) -> dict[bytes, int]:
-    """How often each context occurs in all languages; ``runs``: by language and order."""
-    out: dict[bytes, int] = {}
-    for order in range(ORDER + 1):
-        context, place = np.unique(np.concatenate([tree[order][0] >> np.uint64(8) for tree in runs]), return_inverse=True)
-        total = np.bincount(place, np.concatenate([tree[order][1] for tree in runs]), len(context))
-        out |= {c.to_bytes(order, "big"): int(n) for c, n in zip(context.tolist(), total.tolist(), strict=True)}
-    return out
-
-
-def fit(texts: dict[str, list[bytes]], states: int = STATES) -> Model:
-    """Build the automaton from texts by language; the most frequent contexts are its states."""
-    languages = sorted(texts)
-    states = max(256, 4 * states // max(4, len(languages)))
-    runs = [[_counts(texts[x], order) for order in range(ORDER + 1)] for x in languages]
-    weight = _weights(runs)
+def grow(texts: list[bytes], states: int = STATES) -> Tree:
+    """The tree of one language; its most frequent contexts are kept."""
+    runs = [_counts(texts, order) for order in range(ORDER + 1)]
+    weight: dict[bytes, int] = {}
+    for order, (key, n) in enumerate(runs):
+        context, place = np.unique(key >> np.uint64(8), return_inverse=True)
+        total = np.bincount(place, n, len(context))
+        weight |= {c.to_bytes(order, "big"): int(x) for c, x in zip(context.tolist(), total.tolist(), strict=True)}
     most = sorted(weight, key=lambda c: (-weight[c], len(c), c))[:states]
     number: dict[bytes, int] = {b"": 0}
     for context in sorted(most, key=lambda c: (len(c), c)):  # with all their prefixes and suffixes: else a state would depend on more than ORDER bytes
         if context and context[:-1] in number and context[1:] in number:
             number[context] = len(number)
-    trees: list[dict[bytes, np.ndarray]] = []
-    for tree in runs:
-        found: dict[bytes, np.ndarray] = {}
-        for order, (key, n) in enumerate(tree):
-            for k, c in zip(key.tolist(), n.tolist(), strict=True):
-                context = (k >> 8).to_bytes(order, "big")
-                if context in number:
-                    found.setdefault(context, np.zeros(256))[k & 255] = c
-        trees.append(found)
-    step = np.zeros((len(number), 256), np.int32)
-    cost = np.zeros((len(number), 256, len(languages)), np.float32)
-    child: dict[bytes, list[bytes]] = {}
-    for context in number:
-        if context:
-            child.setdefault(context[:-1], []).append(context)
-    for context, i in number.items():
-        shorter = number[context[1:]]
-        if context:
-            step[i] = step[shorter]
-        for longer in child.get(context, ()):
-            step[i, longer[-1]] = number[longer]
-        for k, tree in enumerate(trees):
-            base = cost[shorter, :, k] if context else np.full(256, 8.0, np.float32)
-            n = tree.get(context)
-            if n is None:
-                cost[i, :, k] = base
-                continue
-            total, kinds = n.sum(), np.count_nonzero(n)
-            cost[i, :, k] = np.where(n > 0, -np.log2(np.maximum(n, 1e-9) / (total + kinds)), base - np.log2(kinds / (total + kinds)))
-    return Model(languages, step, cost)
+    size = np.array([len(c) for c in number])
+    levels = [int(x) for x in np.searchsorted(size, np.arange(ORDER + 2))]
+    parent, shorter = (np.array([number[c] for c in x], np.int32) for x in ([c[:-1] for c in number], [c[1:] for c in number]))
+    byte = np.array([c[-1] if c else 0 for c in number], np.uint8)
+    names = list(number)
+    at, seen = [], []
+    for order, (key, n) in enumerate(runs):
+        own = np.array([int.from_bytes(c, "big") for c in names[levels[order] : levels[order + 1]]], np.uint64)  # in order
+        if len(own):
+            context = key >> np.uint64(8)
+            i = np.minimum(np.searchsorted(own, context), len(own) - 1)
+            kept = own[i] == context
+            at.append((levels[order] + i[kept]) * 256 + (key[kept] & np.uint64(255)).astype(np.int64))
+            seen.append(n[kept])
+    place, count = np.concatenate(at), np.concatenate(seen).astype(np.float64)
+    total, kinds = np.bincount(place >> 8, count, len(number)), np.bincount(place >> 8, minlength=len(number))
+    whole = np.maximum(1, total + kinds)
+    escape = -np.log2(np.maximum(1, kinds) / whole)
+    return Tree(levels, parent, byte, shorter, escape.astype(np.float32), place, -np.log2(count / whole[place >> 8]).astype(np.float32))
+
+
+def fit(texts: dict[str, list[bytes]], states: int = STATES) -> Model:
+    """A tree for each language."""
+    return Model(sorted(texts), [grow(texts[x], states) for x in sorted(texts)])
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     """Exact code length in bits of each text in each language."""
-    n_lang = len(model.languages)
-    out = np.zeros((len(texts), n_lang))
+    out = np.zeros((len(texts), len(model.languages)))
     pieces = [(i, a) for i, t in enumerate(texts) for a in range(0, len(t), PIECE)]
     if not pieces:
         return out
@@ -131,17 +155,18 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     length = np.minimum(PIECE, start[which + 1] - at)
     order = np.argsort(-length, kind="stable")
     which, at, length = which[order], at[order], length[order]
-    state = np.zeros(len(at), np.int64)
-    step, cost = model.step.ravel(), model.cost.reshape(-1, n_lang)
-    for j in range(-ORDER, 0):
-        state = step[state * 256 + body[at + j]].astype(np.int64)
-    bits = np.zeros((len(at), n_lang))
     active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
-    for j, n in enumerate(active.tolist()):
-        cell = state[:n] * 256 + body[at[:n] + j]
-        bits[:n] += cost[cell]
-        state[:n] = step[cell]
-    np.add.at(out, which, bits)
+    for k in range(len(model.languages)):
+        step, cost = model.tables(k)
+        state = np.zeros(len(at), np.int32)
+        for j in range(-ORDER, 0):
+            state = step[state + body[at + j]]
+        bits = np.zeros(len(at))
+        for j, n in enumerate(active.tolist()):
+            cell = state[:n] + body[at[:n] + j]
+            bits[:n] += cost[cell]
+            state[:n] = step[cell]
+        out[:, k] = np.bincount(which, bits, len(texts))
     return out
 
 
@@ -162,20 +187,28 @@ def score(model: Model | None, texts: list[bytes | None]) -> tuple[list[str], li
     return [model.languages[b] if k else "und" for b, k in zip(best.tolist(), letters, strict=True)], [s if k else 0.0 for s, k in zip(sure.tolist(), letters, strict=True)], rate.tolist()
 
 
+_TREE = "lang string, tree binary"
+
+
+def _grown(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    tree = grow(sorted(x.encode() for x in rows["text"]))
+    return pd.DataFrame({"lang": [key[0]], "tree": [pickle.dumps(tree)]})
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on the bounded sample of labelled rows of ``docs`` (doc_id, text, lang)."""
-    labelled = docs.select("doc_id", "lang").where("lang is not null and lang <> 'und' and doc_id is not null")
-    names = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    # a share of the hashes first, about four times the sample, so that the exact cut sees few rows however many there are
-    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n"))
-    some = labelled.join(F.broadcast(names), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = some.select("doc_id", "lang", nth.alias("nth")).where(F.col("nth") <= sample).select("doc_id").distinct()
-    rows = docs.select("doc_id", "lang", "text").where("text is not null and lang is not null and lang <> 'und'")
-    texts: dict[str, list[bytes]] = {}
-    for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").collect():  # the bounded sample
-        texts.setdefault(r.lang, []).append(r.text.encode())
-    return fit({k: sorted(v) for k, v in texts.items()}) if texts else None
+    """Fit on the bounded sample of labelled rows of ``docs`` (doc_id, text, lang); every language with a text is learned."""
+    rows = docs.select("doc_id", "lang", "text").where("text <> '' and lang is not null and lang <> 'und' and doc_id is not null")
+    labelled = rows.select("doc_id", "lang").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    names = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    # a share of the hashes first, about four times the sample, so that the exact cut sees few rows however many there are;
+    # the least hash is always in it, however the ids of a language repeat
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n")) * (1 << 30)
+    some = labelled.join(F.broadcast(names), "lang").where((F.col("h") < share) | (F.col("h") == F.col("least")))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    ids = some.select("doc_id", "lang", nth.alias("nth")).where(F.col("nth") <= sample).select("doc_id", "lang").distinct()
+    bounded = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    trees = {r.lang: pickle.loads(r.tree) for r in bounded.groupBy("lang").applyInPandas(_grown, _TREE).collect()}  # a row a language
+    return Model(sorted(trees), [trees[x] for x in sorted(trees)]) if trees else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

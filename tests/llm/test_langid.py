@@ -62,3 +62,28 @@ def test_edge_rows(spark):
     empty = docs.limit(0)
     assert langid.learn(empty) is None and langid.predict(empty, None).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
+
+
+def test_every_labelled_language_is_learned(spark):
+    """More than 64 languages, each in letters of its own; the last has the fewest rows."""
+    word = lambda k, n: "".join(chr(0x4E00 + 40 * k + (7 * n + j) % 40) for j in range(12))
+    rows = [(100 * k + n, f"{word(k, n)} {word(k, n + 1)}", f"l{k:03}") for k in range(70) for n in range(5 if k < 69 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.learn(docs)
+    assert model.languages == [f"l{k:03}" for k in range(70)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert got == {d: x for d, _, x in rows}
+    assert langid.accept(docs).count() == len(rows)
+
+
+def test_contexts_of_a_language_do_not_depend_on_the_others():
+    rng = random.Random(2)
+    texts = {f"l{k:02}": ["".join(rng.choice("abcdefghij ") for _ in range(4000)).encode()] for k in range(40)}
+    one = langid.code_lengths(langid.fit({"l00": texts["l00"]}), texts["l00"])
+    assert langid.code_lengths(langid.fit(texts), texts["l00"])[0, 0] == one[0, 0]
+
+
+def test_repeated_ids_and_null_texts_do_not_hide_a_language(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(50)] + [(d, "le chat et la souris", "fr") for d in (7, 8)] * 40 + [(i, None, "de") for i in range(100, 160)] + [(160, "der die das", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.learn(docs, sample=2).languages == ["de", "en", "fr"]
