@@ -87,3 +87,16 @@ def test_repeated_ids_and_null_texts_do_not_hide_a_language(spark):
     rows = [(i, "the cat and the dog", "en") for i in range(50)] + [(d, "le chat et la souris", "fr") for d in (7, 8)] * 40 + [(i, None, "de") for i in range(100, 160)] + [(160, "der die das", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert langid.learn(docs, sample=2).languages == ["de", "en", "fr"]
+
+
+def test_noise_is_rejected_and_clean_texts_stay(spark):
+    rows = [r.text.encode() for r in table(spark, "/root/testdata/sf0.1", "documents").where("lang = 'en' and text <> ''").orderBy("doc_id").select("text").limit(500).collect()]
+    model = langid.fit({"en": rows[:300]})
+    rng = random.Random(4)
+    clean = rows[300:] + [x[:200].upper() for x in rows[300:350]] + [b" ".join(w if i % 3 != 1 else b"%d" % rng.randrange(10**6) for i, w in enumerate(x.split()[:60])) for x in rows[300:350]]
+    assert all(langid.fits(model, clean)) and all(langid.fits(model, [x.split()[0] for x in rows[300:] if x.split()[0].isalpha()]))
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300)).encode() for _ in range(50)]
+    assert not any(langid.fits(model, noise))
+    assert langid.fits(model, [None, b"", b"12 34"]) == [False] * 3
+    few = langid.fit({"en": [b"the cat and the dog"]})
+    assert langid.fits(few, [b"a quite different sentence about nothing at all"]) == [True]
