@@ -1,19 +1,20 @@
 """Substring dedup by super-k-mer partitioning.
 
-Consecutive windows of ``k`` words that share a minimiser (the smallest hash of two neighbouring words in the
+Consecutive windows of ``k`` words that share a minimiser (the smallest hash of GRAM neighbouring words in the
 window) travel as one packed string to the bucket of that minimiser, so equal windows always meet there.  The
 bucket sorts its windows, compares equal neighbours word by word and knows for each window the smallest doc_id
 it starts in; a window is a repeat in every document with a larger doc_id.  Covered words are removed.
 
-Scale.  One shuffle carries the packed strings, compressed per bucket; one joins the repeats (intervals of word
-positions) to the texts.  Buckets follow the size of the corpus, so a bucket stays near ``BUCKET_BYTES``.  A
-string that one slice of input holds more than ``HOT`` times is sent once, with its smallest doc_id; its
-occurrences wait outside the bucket and are joined to the bucket's answer, one row for a slice of input, so no
-task gathers the occurrences of a passage that fills a third of the corpus.
+Scale.  A first pass counts the windows of each minimiser; those of HEAVY_WINDOWS windows or more (a frequent phrase, a
+passage in a third of all documents) are heavy and never share a bucket: their windows travel one by one under a 128-bit hash of
+their words, once for a slice of input, the least doc_id of a window is an aggregate with partial sums, and the answer is joined back to
+the slices, salted.  So a bucket holds about BUCKET_BYTES and less than one heavy minimiser more, however large the corpus is.
+The heavy ones that are broadcast are at most 2 * HEAVY_MOST numbers: HEAVY_WINDOWS grows where the corpus would have more.  One
+shuffle carries the packed strings, compressed per bucket; one joins the repeats (intervals of word positions) to the texts.
 
 Defined results.  Null and empty texts have no words, n_removed 0 and the hash of the empty string.  Rows with a
-null doc_id are neither changed nor counted.  Rows that repeat a doc_id are judged each on its own text; a window
-of theirs is a repeat only if a smaller doc_id has it.  Columns other than doc_id and text are not read.
+null doc_id are neither changed nor counted.  Rows that repeat a doc_id are judged each on its own text (told apart by xxhash64); a
+window of theirs is a repeat only if a smaller doc_id has it.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,115 +34,143 @@ from fathom.llm import text as tx
 from fathom.llm.tables import arrow_batches, cut, partitions, table
 
 K = 13
+#: Words of a minimiser.
+GRAM = 4
 #: Packed bytes that one bucket should hold.
 BUCKET_BYTES = 8 << 20
-#: A packed string that a slice of input holds more often goes to its bucket once.
-HOT = 8
+#: Windows of one minimiser that make it heavy, about an eighth of a bucket; and how many heavy ones there may be, about.
+HEAVY_WINDOWS, HEAVY_MOST = 50_000, 1 << 22
+#: Ways that the slices of a heavy window are dealt to the join with its answer.
+SALT = 32
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _super_kmers(w: tx.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each super-k-mer: text index, first word, number of words, minimiser, hash of its words."""
-    counts = w.counts()
-    ends = np.repeat(w.first[1:], counts)
-    at = np.flatnonzero(np.arange(w.n) + k <= ends)
+def _super_kmers(w: tx.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each super-k-mer: text index, first word, number of words, minimiser."""
+    at = np.flatnonzero(np.arange(w.n) + k <= np.repeat(w.first[1:], w.counts()))
     if not len(at):
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = w.hashed()
-    low = tx.rolling(h, 2)  # low[i]: words i, i+1
-    span, width = low, 1
-    want = k - 1
+        return z, z, z, np.zeros(0, np.uint64)
+    gram = min(GRAM, k)
+    span, width = tx.rolling(w.hashed(), gram), 1
+    want = k - gram + 1
     while width * 2 <= want:
         span = np.minimum(span[:-width], span[width:])
         width *= 2
     if width < want:
         shift = want - width
         span = np.minimum(span[:-shift], span[shift:])
-    low = span[at]
-    doc = w.doc()[at]
-    new = np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])))
-    run = np.flatnonzero(new)
-    length = np.diff(np.concatenate((run, [len(at)])))
-    first, words = at[run], length + k - 1
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(w.n, 0x9E3779B97F4A7C15, np.uint64))
-        whole = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers)))
-        inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-        back = np.cumprod(np.full(w.n, inverse, np.uint64))
-        value = tx.mix((whole[first + words] - whole[first]) * back[first] + words.astype(np.uint64))
-    return doc[run], first, words, low[run], value
+    low, doc = span[at], w.doc()[at]
+    run = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))))
+    return doc[run], at[run], np.diff(np.concatenate((run, [len(at)]))) + k - 1, low[run]
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("hot", pa.binary()), ("blob", pa.binary())])
-_SENT_SQL = "bucket int, hot binary, blob binary"
+def _windows(k: int, least: int):
+    """Windows of each minimiser; of a task only those with ``least`` or more."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            low, n = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            order = np.argsort(low)
+            head = np.flatnonzero(np.concatenate(([True], low[order][1:] != low[order][:-1])))
+            return low[order][head], np.add.reduceat(n[order], head)
+
+        def out(low: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(low[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["low", "n"])
+
+        for _, texts in tx.chunks(batches, "text"):
+            _, _, words, low = _super_kmers(tx.words_of(texts), k)
+            if len(low):
+                held.append((low, words - k + 1))
+                size += len(low)
+            if size > 3_000_000:
+                held = [summed()]
+                size = len(held[0][0])
+                if size > 1_500_000:  # the sum of what a task reports in turns is less by what no turn reports
+                    yield out(*held[0])
+                    held, size = [], 0
+        if held:
+            yield out(*summed())
+
+    return run
+
+
+def heavy_minimisers(rows: DataFrame, k: int, total: int, tasks: int) -> np.ndarray:
+    """Sorted minimisers of about HEAVY_WINDOWS windows or more.  A minimiser of so many has a share of 1 / tasks of them in some task."""
+    bound = max(HEAVY_WINDOWS, total // (2 * HEAVY_MOST))
+    counted = rows.select("text").mapInArrow(_windows(k, max(1, bound // (2 * tasks))), "low long, n long")
+    found = counted.groupBy("low").agg(F.sum("n").alias("n")).where(F.col("n") >= bound // 2).select("low").toArrow()  # at most 2 * HEAVY_MOST
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
 
-def _pack(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray, words: np.ndarray, hot: np.ndarray, body: bytes, z: zstandard.ZstdCompressor) -> bytes:
-    head = struct.pack("<i", len(pos)) + np.diff(ids, prepend=0).astype("<i8").tobytes() + keys.astype("<i4").tobytes()
-    head += pos.astype("<i4").tobytes() + words.astype("<i4").tobytes() + hot.astype("u1").tobytes()
-    return z.compress(head + body)
 
+_SENT = pa.schema([("bucket", pa.int32()), ("name", pa.binary()), ("least", pa.int64()), ("most", pa.int64()), ("blob", pa.binary())])
+_SENT_SQL = "bucket int, name binary, least long, most long, blob binary"
 
-def _unpack(blob: bytes, z: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+
+def _pack(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray, words: np.ndarray, body: bytes, z: zstandard.ZstdCompressor) -> bytes:
+    head = struct.pack("<i", len(pos)) + np.diff(ids, prepend=0).astype("<i8").tobytes() + keys.astype("<i8").tobytes()
+    return z.compress(head + pos.astype("<i4").tobytes() + words.astype("<i4").tobytes() + body)
+
+
+def _unpack(blob: bytes, z: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     data = z.decompress(blob)
     (n,) = struct.unpack_from("<i", data)
     at, out = 4, []
-    for kind, size in (("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4), ("u1", 1)):
+    for kind, size in (("<i8", 8), ("<i8", 8), ("<i4", 4), ("<i4", 4)):
         out.append(np.frombuffer(data, kind, n, at))
         at += size * n
     out[0] = np.cumsum(out[0])
     return (*out, data[at:])
 
 
-def _send(k: int, n_buckets: int):
+def _send(k: int, n_buckets: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
+        known = heavy.value
         for batch, texts in tx.chunks(batches, "text"):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(2).to_numpy(zero_copy_only=False)
             w = tx.words_of(texts)
-            doc, first, words, low, value = _super_kmers(w, k)
+            doc, first, words, low = _super_kmers(w, k)
             if not len(doc):
                 continue
-            pos = first - w.first[doc]
+            whole = w.buf.tobytes()
+            rows: list[tuple[int, bytes | None, int | None, int | None, bytes]] = []
+            alone = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low if len(known) else np.zeros(len(low), bool)
+            if alone.any():  # each window by itself, once for this slice of input
+                per = words[alone] - k + 1
+                at = np.repeat(first[alone], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+                who = np.repeat(doc[alone], per)
+                value = tx.rolling(w.hashed(), k)[at]
+                order = np.lexsort((ids[who], value))
+                at, who, value = at[order], who[order], value[order]
+                edge = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1], [True])))
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    name = xxhash.xxh3_128_digest(whole[w.off[at[a]] : w.off[at[a] + k]])
+                    own = who[a:b]
+                    least, most = int(ids[own[0]]), int(ids[own[-1]])
+                    blob = _pack(ids[own], keys[own], at[a:b] - w.first[own], np.full(b - a, k), b"", z)
+                    rows.append((xxhash.xxh3_64_intdigest(name + struct.pack("<q", least)) % n_buckets, name, least, most, blob))
+            left = np.flatnonzero(~alone)
             bucket = (tx.mix(low ^ _SALT) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(value, kind="stable")
-            runs = np.flatnonzero(np.concatenate(([True], value[order][1:] != value[order][:-1])))
-            size = np.diff(np.concatenate((runs, [len(order)])))
-            hot = np.zeros(len(doc), bool)
-            send = np.ones(len(doc), bool)
-            rows: list[tuple[int, bytes | None, bytes]] = []
-            for a, n in zip(runs[size > HOT].tolist(), size[size > HOT].tolist(), strict=True):
-                same = order[a : a + n]
-                least = same[np.argmin(ids[doc[same]])]
-                body = w.buf[w.off[first[least]] : w.off[first[least] + words[least]]].tobytes()
-                agree = np.array([w.buf[w.off[first[i]] : w.off[first[i] + words[i]]].tobytes() == body for i in same])
-                if not agree.all():  # equal hashes of different words: leave them to the bucket
-                    continue
-                send[same] = False
-                send[least] = hot[least] = True
-                who = doc[same]
-                name = xxhash.xxh3_128_digest(body)
-                rows.append((int(xxhash.xxh3_64_intdigest(name + struct.pack("<q", int(ids[who[0]])))) % n_buckets, name, _pack(ids[who], keys[who], pos[same], words[same], np.zeros(n), b"", z)))
-            left = np.flatnonzero(send)
             left = left[np.argsort(bucket[left], kind="stable")]
-            edge = np.flatnonzero(np.concatenate(([True], bucket[left][1:] != bucket[left][:-1], [True])))
+            edge = np.flatnonzero(np.concatenate(([True], bucket[left][1:] != bucket[left][:-1], [True]))) if len(left) else np.zeros(1, np.int64)
             lo, hi = w.off[first[left]].tolist(), w.off[first[left] + words[left]].tolist()
-            whole = w.buf.tobytes()
+            pos = first - w.first[doc]
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 part = left[a:b]
                 body = b"".join([whole[s:e] for s, e in zip(lo[a:b], hi[a:b], strict=True)])
-                rows.append((int(bucket[part[0]]), None, _pack(ids[doc[part]], keys[doc[part]], pos[part], words[part], hot[part], body, z)))
-            b, n, p = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(n, pa.binary()), pa.array(p, pa.binary())], schema=_SENT)
+                rows.append((int(bucket[part[0]]), None, None, None, _pack(ids[doc[part]], keys[doc[part]], pos[part], words[part], body, z)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
     return run
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("key", pa.int32()), ("hot", pa.binary()), ("kind", pa.int8()), ("data", pa.binary())])
-_FOUND_SQL = "doc_id long, key int, hot binary, kind byte, data binary"
-_INTERVALS, _ANSWER, _WAITING = 0, 1, 2
+_FOUND = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("name", pa.binary()), ("least", pa.int64()), ("most", pa.int64()), ("data", pa.binary())])
+_FOUND_SQL = "doc_id long, key long, name binary, least long, most long, data binary"
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
@@ -160,14 +189,14 @@ def _covered(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, k: int) -> It
     pairs = np.stack((start[head], start[tail] + k), 1).astype("<i4")
     text = np.flatnonzero(np.concatenate(([True], other))[head])
     for a, b in zip(text.tolist(), [*text[1:].tolist(), len(pairs)], strict=True):
-        yield int(ids[head[a]]), int(keys[head[a]]), None, _INTERVALS, pairs[a:b].tobytes()
+        yield int(ids[head[a]]), int(keys[head[a]]), None, None, None, pairs[a:b].tobytes()
 
 
 def _count(blobs: list[bytes], k: int, z: zstandard.ZstdDecompressor) -> Iterator[tuple]:
     """Sort the windows of one bucket and report the repeats."""
     parts = [_unpack(b, z) for b in blobs]
-    ids, keys, pos, words, hot = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    w = tx.from_packed(b"".join(p[5] for p in parts))
+    ids, keys, pos, words = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    w = tx.from_packed(b"".join(p[4] for p in parts))
     del parts
     codes = w.codes()
     start = np.concatenate(([0], np.cumsum(words[:-1], dtype=np.int64)))
@@ -191,17 +220,10 @@ def _count(blobs: list[bytes], k: int, z: zstandard.ZstdDecompressor) -> Iterato
     new = np.flatnonzero(np.concatenate(([True], value[order][1:] != value[order][:-1])))
     least = np.empty(len(at), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(ids[owner[order]], new), np.diff(np.concatenate((new, [len(at)]))))
-    again = np.flatnonzero((least < ids[owner]) & (hot[owner] == 0))
+    again = np.flatnonzero(least < ids[owner])
     if len(again):
         o = owner[again]
         yield from _covered(ids[o], keys[o], pos[o] + inside[again], k)
-    first = np.concatenate(([0], np.cumsum(per)))
-    told: dict[bytes, bytes] = {}
-    for i in np.flatnonzero(hot).tolist():
-        body = w.buf[w.off[start[i]] : w.off[start[i] + words[i]]].tobytes()
-        told[xxhash.xxh3_128_digest(body)] = least[first[i] : first[i + 1]].astype("<i8").tobytes()
-    for name, data in told.items():
-        yield None, None, name, _ANSWER, data
 
 
 def _buckets(k: int):
@@ -211,9 +233,9 @@ def _buckets(k: int):
         at = None
         for batch in batches:
             out: list[tuple] = []
-            for bucket, hot, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if hot is not None:
-                    out.append((None, None, hot, _WAITING, blob))
+            for bucket, *heavy, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if heavy[0] is not None:  # a window of a heavy minimiser only passes through
+                    out.append((None, None, *heavy, blob))
                     continue
                 if bucket != at and held:
                     out += _count(held, k, z)
@@ -229,18 +251,19 @@ def _buckets(k: int):
 
 
 def _released(k: int):
+    """Repeats among the slices of heavy windows: those in documents beyond the least one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: list[tuple] = []
-            for blob, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parts = []
+            for blob, least in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, keys, pos, *_ = _unpack(blob, z)
-                least = np.frombuffer(data, "<i8")
-                i, j = np.nonzero(least[None, :] < ids[:, None])
-                if len(i):
-                    out += _covered(ids[i], keys[i], pos[i] + j, k)
-            if out:
-                yield _found(out)
+                later = ids > least
+                parts.append((ids[later], keys[later], pos[later]))
+            ids, keys, pos = (np.concatenate([p[i] for p in parts]) for i in range(3)) if parts else (np.zeros(0, np.int64),) * 3
+            if len(ids):
+                yield _found(list(_covered(ids, keys, pos, k)))
 
     return run
 
@@ -288,29 +311,33 @@ def _kept(with_text: bool):
 def repeated_words(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, key, found): for texts with repeats, lists of word intervals; key is a hash of the text, for rows that share a doc_id."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.hash("text").alias("key")).where("doc_id is not null and text is not null")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).where("doc_id is not null and text is not null")
+    sizes = docs.select(F.octet_length("text").alias("n"), F.spark_partition_id().alias("task")).groupBy("task").agg(F.sum("n").alias("n"))
+    total, tasks = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    heavy = spark.sparkContext.broadcast(heavy_minimisers(rows, k, total, max(1, tasks)))
     n_buckets = max(partitions(spark), -(-3 * total // BUCKET_BYTES))
     tasks = max(partitions(spark), -(-n_buckets // 8))
-    sent = rows.mapInArrow(_send(k, n_buckets), _SENT_SQL)
+    sent = rows.mapInArrow(_send(k, n_buckets, heavy), _SENT_SQL)
     with arrow_batches(spark, "8m"):
         found = cut(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(k), _FOUND_SQL))
-    waiting = found.where(F.col("kind") == _WAITING).select("hot", F.col("data").alias("blob"))
-    answers = found.where(F.col("kind") == _ANSWER).select("hot", "data").dropDuplicates(["hot"])
-    freed = waiting.join(answers, "hot").select("blob", "data").mapInArrow(_released(k), _FOUND_SQL)
-    both = found.where(F.col("kind") == _INTERVALS).unionByName(freed)
+    waiting = found.where("name is not null").withColumn("salt", F.pmod(F.xxhash64("data"), F.lit(SALT)).cast("int"))
+    answers = waiting.groupBy("name").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last")
+    answers = answers.select("name", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    freed = waiting.join(answers, ["name", "salt"]).where("first < most").select("data", "first").mapInArrow(_released(k), _FOUND_SQL)
+    both = found.where("name is null").unionByName(freed)
     return both.groupBy("doc_id", "key").agg(F.collect_list("data").alias("found"))
 
 
 def substring_dedup(docs: DataFrame, k: int = K, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text) of each row of ``docs``."""
     found = repeated_words(docs, k)
-    rows = docs.select("doc_id", "text", F.hash("text").alias("key")).mapInArrow(_squeezed, "doc_id long, text binary, key int")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(_squeezed, "doc_id long, text binary, key long")
     joined = rows.join(found, ["doc_id", "key"], "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``substring_dedup`` of all documents; nulls, repeats and scale as the module says."""
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
