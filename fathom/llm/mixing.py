@@ -9,13 +9,13 @@ Shares are exact: children are sorted by supply / weight, and the level of the w
 A leaf's budget is met by passes over the leaf, each in its own seeded order.  Whole epochs first, then the longest prefix of
 the next epoch whose tokens fit.  The order within an epoch is by md5 of seed, epoch and doc_id.  No document is taken more than MAX_EPOCHS times.
 
-Scale.  Tokens are summed by leaf and by the first digits of the order (parts of about PART rows) with partial aggregates, so the
-running sum is split: over the parts of a leaf, and inside a part.  No task sorts a whole leaf.  The tree is one row for
+Scale.  Tokens are summed by leaf and by the first digits of the order (parts of about PART rows, as many as tasks at least) with partial
+aggregates, so the running sum is split: over the parts of a leaf, and over the places inside a part.  No task sorts a whole leaf.  The tree is one row for
 a (domain, language, source).  Texts are read once for their token count and joined back once by none: the result is computed
 from (doc_id, leaf, tokens).
 
 Defined results.  A null text has no tokens: such a document costs nothing and is taken with the prefix that reaches it.  Null
-languages and sources are the leaf `?`.  Rows that repeat a doc_id share their place in the order and are added
+languages and sources are the leaf `?`.  Rows that repeat a doc_id (or have none) share their place in the order and are added
 together, by the tokens of each.  A weight that isn't given is 1.  An empty table gives an empty result.
 """
 
@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.tables import cut, table
+from fathom.llm.tables import cut, partitions, spare, table
 
 #: The corpus budget as a share of its tokens.
 SHARE = 0.9
@@ -80,9 +80,9 @@ def budgets(leaves: DataFrame, share: float, max_epochs: int) -> DataFrame:
     return shares(low, ["domain", "language"], "source").select("domain", "language", "source", "tokens", F.col("share").alias("budget"))
 
 
-def digits(rows: int, part: int) -> int:
-    """Hexadecimal digits of a hash that split so many rows into parts of about ``part``."""
-    return max(1, min(8, math.ceil(math.log(max(1, rows / part), 16))))
+def digits(rows: int, part: int, tasks: int = 1) -> int:
+    """Hexadecimal digits of a hash that split so many rows into parts of about ``part``, and into as many parts as there are tasks."""
+    return max(1, min(8, math.ceil(math.log(max(1, rows / part, tasks), 16))))
 
 
 def _mixed(docs: DataFrame, share: float, max_epochs: int, seed: int) -> DataFrame:
@@ -95,14 +95,16 @@ def _mixed(docs: DataFrame, share: float, max_epochs: int, seed: int) -> DataFra
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("long")
     sized = sized.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
     order = F.md5(F.concat_ws(":", F.lit(seed), "whole", F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).cast("binary"))
-    sized = sized.withColumn("ord", order).withColumn("part", F.substring("ord", 1, digits(rows.count(), PART)))
-    parts = sized.groupBy(*leaf, "part").agg(F.sum("n_tokens").alias("held"))
+    sized = sized.withColumn("ord", order).withColumn("part", F.substring("ord", 1, digits(rows.count(), PART, partitions(docs.sparkSession))))
+    # one row for a place in the order, so that rows without doc_id, however many, don't meet in one task
+    places = sized.groupBy(*leaf, "part", "ord").agg(F.sum("n_tokens").alias("held"), F.first("rest").alias("rest"))
     before = Window.partitionBy(*leaf).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("held")
-    joined = sized.join(parts, [*leaf, "part"])
-    inside = Window.partitionBy(*leaf, "part").orderBy("ord")  # rows of one order value come together: range frame
-    taken = (F.col("before") + F.sum("n_tokens").over(inside) <= F.col("rest")).cast("long")
-    return joined.select("doc_id", "key", *leaf, "n_tokens", F.least(F.col("whole") + taken, F.lit(max_epochs)).cast("long").alias("epochs"))
+    parts = places.groupBy(*leaf, "part").agg(F.sum("held").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
+    inside = Window.partitionBy(*leaf, "part").orderBy("ord")
+    taken = (F.col("before") + F.sum("held").over(inside) <= F.col("rest")).cast("long")
+    places = places.join(parts, [*leaf, "part"]).select(*leaf, "ord", taken.alias("taken"))
+    joined = sized.join(places, [*leaf, "ord"])
+    return joined.select("doc_id", "key", *leaf, "n_tokens", F.least(F.col("whole") + F.col("taken"), F.lit(max_epochs)).cast("long").alias("epochs"))
 
 
 def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -111,6 +113,7 @@ def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, see
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix`` of all documents; nulls, repeats and scale as the module says."""
     return mix(table(spark, sf_dir, "documents"))
 
 
@@ -118,9 +121,13 @@ def sampled(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS,
     """The rows of ``docs``, each as often as it is taken; all columns stay."""
     taken = _mixed(docs, share, max_epochs, seed).where("epochs > 0").groupBy("doc_id", "key", "source", "language").agg(F.max("epochs").alias("_epochs"))
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("language").alias("_language"), "_epochs")
-    rows = docs.withColumn("_own", F.xxhash64("text")).withColumn("_from", F.coalesce("source", F.lit("?"))).withColumn("_in", F.coalesce("lang", F.lit("?")))
-    rows = rows.join(taken, F.expr("doc_id <=> _id and _own = _key and _from = _source and _in = _language"))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs")))).select(docs.columns)
+    own, origin, spoken, copy = spare(docs, "_own", "_from", "_in", "_copy")
+    names = dict(zip(taken.columns, spare(docs, *taken.columns), strict=True))
+    taken = taken.withColumnsRenamed(names)
+    rows = docs.withColumn(own, F.xxhash64("text")).withColumn(origin, F.coalesce("source", F.lit("?"))).withColumn(spoken, F.coalesce("lang", F.lit("?")))
+    same = F.col("doc_id").eqNullSafe(F.col(names["_id"])) & (F.col(own) == F.col(names["_key"])) & (F.col(origin) == F.col(names["_source"])) & (F.col(spoken) == F.col(names["_language"]))
+    rows = rows.join(taken, same)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["_epochs"])))).select(docs.columns)
 
 
 ORACLE = r"""

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fathom.operators.order import cut
+
+__all__ = ["arrow_batches", "cut", "partitions", "spare", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,17 +20,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; where none is set (tests, one machine), set one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="fathom-checkpoints-")
-    context.setCheckpointDir(folder)
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened as long as ``df`` has a column of that name, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 @contextlib.contextmanager
@@ -41,12 +41,3 @@ def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet below the shared checkpoint folder and read it back, which ends its lineage."""
-    spark = df.sparkSession
-    shared(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/fathom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
