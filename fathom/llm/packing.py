@@ -5,14 +5,15 @@ padded to the boundary above it, and the program finds the boundaries with the l
 lines make a step linear in the number of lengths).  Inside a bucket with boundary b, batches hold max(1, BUDGET // b)
 documents, filled in a seeded order.
 
-Scale.  The histogram is the only thing that reaches the driver, and its size is bounded: lengths up to EXACT are
-exact, longer ones are rounded up to GRID steps for each doubling, at most EXACT + 64 * GRID rows.  Batch numbers are
-places in a bucket's seeded order; the order's first bits split a bucket into parts whose sizes are summed first, so no
+Scale.  The histogram of exact lengths is the only thing that reaches the driver, as two columns of numbers.  It has a row
+for each different length: at most sqrt(2 * tokens) of them, since n different lengths have n * (n - 1) / 2 tokens at least, and in practice the
+lengths of the longest documents end it long before.  Batch numbers are places in a bucket's seeded order, by md5 of seed,
+doc_id and the text's hash; the order's first bits split a bucket into parts whose sizes are summed first, so no
 task numbers a whole bucket, and only the last batch of a bucket can be short.
 
 Defined results.  Null and empty texts have length 0 and are packed like others; if all lengths are 0 there is
 one bucket with boundary 0 and BUDGET documents a batch.  A document longer than BUDGET is a batch alone.  Rows that repeat a doc_id
-are packed each.  An empty table gives an empty result.
+are packed each, those of different texts at places of their own.  A null doc_id is packed like others.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.mixing import digits, tokens
-from fathom.llm.tables import cut, table
+from fathom.llm.tables import cut, partitions, table
 
 MAX_BUCKETS = 16
 BUDGET = 65_536
-EXACT, GRID = 4096, 512
 #: Documents of a part of a bucket's order, about.
 PART = 20_000
 SEED = 5
@@ -76,23 +76,17 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int = MAX_BUCKETS
     return out[::-1]
 
 
-def rounded(n):
-    """Length on the grid of the histogram: exact up to EXACT, then GRID steps a doubling, rounded up."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)) / GRID)))
-    return F.when(n <= EXACT, n).otherwise(F.ceil(n / step) * step).cast("long")
-
-
 def pack(docs: DataFrame, buckets: int = MAX_BUCKETS, budget: int = BUDGET, seed: int = SEED) -> DataFrame:
-    """doc_id, n_tokens, bucket (from 0), padded (its boundary), batch (from 0 in a bucket), slot (from 0 in a batch)."""
+    """Of each row of ``docs``: doc_id, n_tokens, bucket (from 0), padded (its boundary), batch (from 0 in a bucket), slot (from 0 in a batch)."""
     n = tokens(F.col("text"))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).cast("binary"))
-    rows = docs.select("doc_id", n.alias("n_tokens")).withColumn("length", rounded(F.col("n_tokens")))
-    rows = cut(rows.withColumn("ord", order))
-    histogram = rows.groupBy("length").count().collect()  # bounded by EXACT and GRID
-    bounds = boundaries([r["length"] for r in histogram], [r["count"] for r in histogram], buckets)
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("length"))) if bounds else F.lit(0)
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.xxhash64("text")).cast("binary"))
+    rows = cut(docs.select("doc_id", n.alias("n_tokens"), order.alias("ord")))
+    histogram = rows.groupBy("n_tokens").count().toArrow()  # a row for each length, see above
+    lengths, counts = (histogram.column(i).to_pylist() for i in range(2))
+    bounds = boundaries(lengths, counts, buckets)
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("n_tokens"))) if bounds else F.lit(0)
     rows = rows.withColumn("bucket", bucket).withColumn("padded", F.get(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), F.col("bucket")))
-    rows = rows.withColumn("part", F.substring("ord", 1, digits(sum(r["count"] for r in histogram), PART)))
+    rows = rows.withColumn("part", F.substring("ord", 1, digits(sum(counts), PART, partitions(docs.sparkSession))))
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("bucket", "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     place = F.col("before") + F.row_number().over(Window.partitionBy("bucket", "part").orderBy("ord", "n_tokens")) - 1
@@ -102,4 +96,5 @@ def pack(docs: DataFrame, buckets: int = MAX_BUCKETS, budget: int = BUDGET, seed
 
 
 def op8_pack_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pack`` of all documents; nulls, repeats and scale as the module says."""
     return pack(table(spark, sf_dir, "documents"))

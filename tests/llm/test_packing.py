@@ -28,7 +28,7 @@ def test_batches(spark, monkeypatch):
     rows = [(i, "w " * rng.choice([0, 1, 3, 8, 40, 41, 300])) for i in range(300)] + [(400, None), (401, ""), (5, "w"), (5, "w"), (None, "a b"), (402, "w " * 9000)]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, batch int").repartition(3)
     got = p.pack(df, buckets=4, budget=200).collect()
-    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == sorted((-1 if d is None else d, len((t or "").split())) if d else (d if d is not None else -1, len((t or "").split())) for d, t in rows) or len(got) == len(rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got) == sorted((-1 if d is None else d, len((t or "").split())) for d, t in rows)
     assert sorted(r.n_tokens for r in got) == sorted(len((t or "").split()) for _, t in rows)
     for bucket in {r.bucket for r in got}:
         own = [r for r in got if r.bucket == bucket]
@@ -44,3 +44,21 @@ def test_empty(spark):
     assert p.pack(df).count() == 0
     only = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert sorted((r.padded, r.batch, r.slot) for r in p.pack(only).collect()) == [(0, 0, 0), (0, 0, 1)]
+
+
+def exact_padding(sizes, buckets):
+    """The least padding by the plain quadratic program over exact lengths."""
+    import numpy as np
+
+    length, count = np.unique(np.array(sizes), return_counts=True)
+    n, c, t = len(length), np.concatenate(([0], np.cumsum(count))), np.concatenate(([0], np.cumsum(length * count)))
+    best = np.concatenate(([0], np.full(n, 1 << 60)))
+    for _ in range(buckets):
+        best = np.array([0] + [min(best[j], (best[:j] + length[j - 1] * (c[j] - c[:j]) - (t[j] - t[:j])).min()) for j in range(1, n + 1)])
+    return int(best[n])
+
+
+def test_padding_of_a_table_is_the_exact_optimum(spark):
+    got = p.op8_pack_lengths(spark, "/root/testdata/sf0.1").select("n_tokens", "padded").collect()
+    assert sum(r.padded - r.n_tokens for r in got) == exact_padding([r.n_tokens for r in got], p.MAX_BUCKETS)
+    assert max(r.padded for r in got) == max(r.n_tokens for r in got) > 4096
