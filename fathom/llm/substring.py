@@ -315,11 +315,11 @@ def repeated_words(docs: DataFrame, k: int = K) -> DataFrame:
     sizes = docs.select(F.octet_length("text").alias("n"), F.spark_partition_id().alias("task")).groupBy("task").agg(F.sum("n").alias("n"))
     total, tasks = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     heavy = spark.sparkContext.broadcast(heavy_minimisers(rows, k, total, max(1, tasks)))
-    n_buckets = max(partitions(spark), -(-3 * total // BUCKET_BYTES))
-    tasks = max(partitions(spark), -(-n_buckets // 8))
+    tasks = max(partitions(spark), -(-3 * total // (8 * BUCKET_BYTES)))
+    n_buckets = tasks * max(1, -(-3 * total // (tasks * BUCKET_BYTES)))  # as many for each task
     sent = rows.mapInArrow(_send(k, n_buckets, heavy), _SENT_SQL)
     with arrow_batches(spark, "8m"):
-        found = cut(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(k), _FOUND_SQL))
+        found = cut(sent.repartitionById(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(k), _FOUND_SQL))
     waiting = found.where("name is not null").withColumn("salt", F.pmod(F.xxhash64("data"), F.lit(SALT)).cast("int"))
     answers = waiting.groupBy("name").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last")
     answers = answers.select("name", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
