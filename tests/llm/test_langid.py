@@ -36,8 +36,9 @@ def brute(model_texts, text):
 def test_code_lengths_equal_a_tree_walk():
     rng = random.Random(1)
     texts = {x: ["".join(rng.choice(letters) for _ in range(300)).encode() for _ in range(3)] for x, letters in (("aa", "abc "), ("bb", "bcdé "))}
-    model = langid.fit(texts, states=10**6)
-    tests = [b"abcabc", "é d b".encode(), b"", b"zz", b"abcd " * 900]
+    texts["cc"] = [b"a    b  c   d" * 40, b"    b", b"   "]
+    model = langid.fit(texts)
+    tests = [b"abcabc", "é d b".encode(), b"", b"zz", b"abcd " * 900, b"     a    b", bytes(range(256))]
     got = langid.code_lengths(model, tests)
     for i, t in enumerate(tests):
         for k, x in enumerate(model.languages):
@@ -100,3 +101,36 @@ def test_noise_is_rejected_and_clean_texts_stay(spark):
     assert langid.fits(model, [None, b"", b"12 34"]) == [False] * 3
     few = langid.fit({"en": [b"the cat and the dog"]})
     assert langid.fits(few, [b"a quite different sentence about nothing at all"]) == [True]
+
+
+def test_code_lengths_of_real_texts_are_exact_at_the_default_sample(spark):
+    """All contexts of the learned texts count, however many there are."""
+    rows = [r.text.encode() for r in table(spark, "/root/testdata/sf0.01", "documents").where("lang = 'de' and text <> ''").orderBy("doc_id").select("text").limit(60).collect()]
+    model = langid.fit({"de": rows[:50]})
+    got = langid.code_lengths(model, rows[50:])
+    assert len(model.trees[0].escape) > 8000
+    for i, t in enumerate(rows[50:53]):
+        assert math.isclose(got[i, 0], brute(rows[:50], t), rel_tol=1e-4)
+
+
+def test_the_sample_is_bounded_in_texts_and_bytes(spark):
+    rows = [(i, "the cat " * 10, "en") for i in range(40)] + [(7, "le chat et " * 100, "fr")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.learn(docs, sample=12, sample_bytes=300)
+    assert dict(zip(model.languages, [t.learned for t in model.trees], strict=True)) == {"en": 240, "fr": 1100}
+
+
+def test_accepted_rows_without_a_label_get_the_predicted_one(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "le chat et la souris", "fr"), (3, "la souris", None), (4, "the dog", "und"), (5, "der hund und die katze", "de"), (6, "12", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang for r in langid.accept(docs).collect()} == {1: "en", 2: "fr", 3: "fr", 4: "en", 5: "de"}
+
+
+def test_junk_goes_and_clean_text_stays(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang").limit(1500)
+    rng = random.Random(6)
+    junk = [(-1 - i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400)), None) for i in range(40)] + [(-100 - i, "%$ 12 #" * 30, None) for i in range(5)]
+    kept = langid.accept(docs.unionByName(docs.sparkSession.createDataFrame(junk, "doc_id long, text string, lang string")))
+    assert kept.where("doc_id < 0").isEmpty()
+    clean = docs.where(F.length("text") > 0)
+    assert kept.count() >= clean.count() - 3
