@@ -48,3 +48,55 @@ def test_few_and_none(spark):
 
 def test_quantile():
     assert math.isclose(ann.chi_square_quantile(0.95, 8), 15.507, abs_tol=1e-3)
+
+
+def test_rows_that_repeat_an_id_are_candidates_each(spark):
+    rng = np.random.default_rng(4)
+    many = [(100, rng.standard_normal(6).tolist()) for _ in range(300)]
+    df = spark.createDataFrame(many, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(df, df.where("vec_id % 50 = 0")).collect()
+    assert len(got) == 5 * 300 and {r.vec_id for r in got} == {100} and all(sum(r["rank"] == n for r in got) == 300 for n in range(1, 6))
+    twin = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (7, [2.0, 4.0]), (8, [1.0, 0.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(*[spark.createDataFrame(twin, "vec_id long, embedding array<double>")] * 2, k=2).where("query_id = 0").collect())
+    assert got == [(0, 1, 0, 1.0)] * 2 + [(0, 2, 7, 1.0)] * 2
+
+
+def test_each_length_is_searched_apart(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 1.0, 0.0]), (52, [0.0, 1.0, 1.0]), (100, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect())
+    assert got == [(0, 1, 1), (50, 1, 51), (50, 2, 52)]
+
+
+def test_an_empty_hash_sample_and_shards(spark, monkeypatch):
+    """One vec_id whose hash is outside the sample; cells far above their size are dealt into shards."""
+    monkeypatch.setattr(ann, "SAMPLE", 40)
+    monkeypatch.setattr(ann, "CELL", 8)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(12).astype(np.float32).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    told = {}
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), told=told).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(rows, sorted(got), 5)
+    assert len(got) == 30 and sum(len(set(want[q]) & set(got[q])) for q in got) >= 0.9 * 150
+    assert told[12]["rounds"] > 1 and told[12]["cells"] < 20
+    for one in range(200, 260):
+        few = spark.createDataFrame([(one * 50, x) for _, x in rows[:20]], "vec_id long, embedding array<float>")
+        if few.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) >= (1 << 30) // 4).count():
+            monkeypatch.setattr(ann, "SAMPLE", 2)
+            assert ann.nearest(few, few).count() == 100
+            break
+
+
+def test_recall_on_tables(spark):
+    """Recall against brute force, and how many vectors are verified."""
+    folder = "/root/testdata/sf0.1"
+    v = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    rows = [(r.vec_id, r.embedding) for r in v if r.embedding and all(x is not None and math.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    got = {}
+    for r in ann.op7_nearest_neighbours(spark, folder).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(rows, sorted(got), 5)
+    assert sum(len(set(want[q]) & set(got[q])) for q in got) >= 0.95 * sum(map(len, want.values()))
