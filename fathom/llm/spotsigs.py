@@ -207,4 +207,5 @@ def similar_texts(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def op5_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fingerprints`` of all documents; nulls, repeats and scale as the module says."""
     return fingerprints(table(spark, sf_dir, "documents"))

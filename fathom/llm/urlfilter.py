@@ -7,7 +7,8 @@ merge.  A capture is evaluated as of the time it was fetched: it is blocked if a
 holds that time.  An allow list is a list whose intervals win over the others.
 
 Scale.  A URL has one key for each of its host suffixes and path prefixes, so the range condition becomes an equality on the
-key; a capture matches at most one interval for each key and list.  Intervals of a key are one row with a sorted array, and are
+key; keys are only made as deep as the longest host and the deepest path of the rules, which leaves no match out however long a URL is.  A capture
+matches at most one interval for each key and list.  Intervals of a key are one row with a sorted array, and are
 broadcast only if there are at most BROADCAST of them; else both sides are shuffled on (key, salt): the rules are repeated
 SALT times, so a host with a third of all captures is spread.  Only distinct (host, path, time) keys that match anything return
 to the captures, one row for a capture.  The html isn't read.
@@ -15,6 +16,7 @@ to the captures, one row for a capture.  The html isn't read.
 Defined results.  A null or empty URL, or one without host, has no keys and is never blocked; so is a capture without time.  Hosts
 are compared in lower case without user, port and trailing dot; paths as they are, without query and fragment.  Entries with a
 null pattern, time or action are ignored; of entries of one list, pattern and time a removal counts last.  Rows that repeat are each evaluated.
+A column of the captures named like a result keeps its name, and the result's is lengthened by `_`.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.tables import table
+from fathom.llm.tables import spare, table
 
 BROADCAST = 100_000
 SALT = 16
@@ -56,11 +58,13 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"^[^/?#]*(/[^?#]*)", 1)
 
 
-def keys(host_: Column, path_: Column) -> Column:
-    """Every pattern that covers a URL: host suffixes, alone and with each path prefix."""
+def keys(host_: Column, path_: Column, longest: int, deepest: int) -> Column:
+    """Every pattern that covers a URL: host suffixes of up to ``longest`` labels, alone and with each path prefix of up to ``deepest`` steps."""
     labels = F.split(host_, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    steps = F.filter(F.split(path_, "/"), lambda s: s != "")
+    first = F.greatest(F.lit(1), F.size(labels) - longest + 1)
+    suffixes = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # further steps than asked for, which may be empty, are one piece
+    steps = F.slice(F.filter(F.split(F.regexp_replace(path_, "/+", "/"), "/", deepest + 2), lambda s: s != ""), 1, deepest)
     prefixes = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.concat(F.array(F.lit("")), F.slice(steps, 1, i)), "/"))
     pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
     return F.when((host_ != "") & host_.isNotNull(), F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
@@ -79,24 +83,29 @@ def intervals(entries: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, entries: DataFrame, allow: str = ALLOW) -> DataFrame:
     """``captures`` (url, fetched, and other columns) with host, blocked, lists and since, the oldest interval that blocks."""
     rules = intervals(entries).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("since", "until", "list"))).alias("spans"))
+    depth = F.size(F.split("key", "/")) - 1
+    labels = F.size(F.split(F.substring_index("key", "/", 1), r"\."))
+    n_rules, longest, deepest = rules.agg(F.count("*"), F.coalesce(F.max(labels), F.lit(0)), F.coalesce(F.max(depth), F.lit(0))).first()
     seen = captures.select(host(F.col("url")).alias("_host"), path(F.col("url")).alias("_path"), F.col("fetched").alias("_at")).where("_host <> '' and _at is not null").distinct()
-    asked = seen.withColumn("key", F.explode(keys(F.col("_host"), F.col("_path"))))
-    if rules.count() <= BROADCAST:
+    asked = seen.withColumn("key", F.explode(keys(F.col("_host"), F.col("_path"), longest, deepest)))
+    if n_rules <= BROADCAST:
         met = asked.join(F.broadcast(rules), "key")
     else:
         salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         met = asked.withColumn("salt", F.pmod(F.xxhash64("_host", "_path", "_at"), F.lit(SALT)).cast("int")).join(salted, ["key", "salt"])
     valid = F.filter("spans", lambda s: (s["since"] <= F.col("_at")) & (s["until"].isNull() | (F.col("_at") < s["until"])))
     met = met.select("_host", "_path", "_at", F.explode(valid).alias("s"))
+    at_host, at_path, at, host_, blocked, lists, since = spare(captures, "_host", "_path", "_at", "host", "blocked", "lists", "since")
     found = met.groupBy("_host", "_path", "_at").agg(
         F.max(F.col("s.list") == allow).alias("allowed"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("s.list") != allow, F.col("s.list")))), ",").alias("lists"),
-        F.min(F.when(F.col("s.list") != allow, F.col("s.since"))).alias("since"),
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("s.list") != allow, F.col("s.list")))), ",").alias("_lists"),
+        F.min(F.when(F.col("s.list") != allow, F.col("s.since"))).alias("_since"),
     )
-    found = found.where("not allowed and lists <> ''").drop("allowed")
-    rows = captures.withColumn("host", host(F.col("url")))
-    same = (F.col("host") == F.col("_host")) & (path(F.col("url")) == F.col("_path")) & (F.col("fetched") == F.col("_at"))
-    return rows.join(found, same, "left").withColumn("blocked", F.col("since").isNotNull()).drop("_host", "_path", "_at")
+    found = found.where("not allowed and _lists <> ''")
+    found = found.select(F.col("_host").alias(at_host), F.col("_path").alias(at_path), F.col("_at").alias(at), F.col("_lists").alias(lists), F.col("_since").alias(since))
+    same = (host(F.col("url")) == F.col(at_host)) & (path(F.col("url")) == F.col(at_path)) & (F.col("fetched") == F.col(at))
+    rows = captures.join(found, same, "left").withColumn(host_, host(F.col("url"))).withColumn(blocked, F.col(since).isNotNull())
+    return rows.select(*captures.columns, host_, blocked, lists, since)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

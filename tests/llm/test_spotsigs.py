@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from fathom.llm import spotsigs as s
 
@@ -54,3 +55,49 @@ def test_empty_and_single(spark):
     assert s.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     row = s.fingerprints(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).collect()
     assert len(row) == 1 and row[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest() and row[0].near_next == 1
+
+
+def by_loop(text):
+    """Signatures as tuples, by a plain walk over the words."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    out = set()
+    for strict in (True, False):
+        for i, w in enumerate(words):
+            if (w in s.ANCHORS) == strict:
+                chain = [x for x in words[i + 1 :] if x not in s.ANCHORS][: s.CHAIN]
+                if len(chain) == s.CHAIN:
+                    out.add((w, *chain))
+        if out:
+            return out
+    return {tuple(words)} if words else set()
+
+
+def test_fingerprints_equal_a_plain_walk(spark):
+    """Likenesses are those of the tuples; equal fingerprints are equal sets of tuples, rows of one doc_id and long texts included."""
+    data = [(d, t) for d, t in rows()] + [(30 + i, f"text number {i % 7} of the long series with words w{i % 5} and v{i % 3} the end of it") for i in range(40)]
+    data = [(d, t[:3000] if t else t) for d, t in data]
+    got = s.fingerprints(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    texts = {}
+    for d, t in data:
+        texts.setdefault(d, []).append(t or "")
+    order = [(None, texts[None][0])] + [(d, t) for d in sorted(x for x in texts if x is not None) for t in texts[d]]
+    found = {}
+    for r in got:
+        found.setdefault(r.doc_id, []).append(r)
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    prints = {}
+    for i, (d, t) in enumerate(order):
+        if d in (16, 20):  # which of the two rows of 20 comes first is up to a hash
+            continue
+        (r,) = found[d]
+        after = order[(i + 1) % len(order)][1]
+        assert abs(r.near_edited - jaccard(by_loop(t), by_loop(s.edited(t, after)))) < 1e-12 and abs(r.near_next - jaccard(by_loop(t), by_loop(after))) < 1e-12
+        prints.setdefault(r.fingerprint, set()).add(frozenset(by_loop(t)))
+    assert all(len(x) == 1 for x in prints.values()) and len(set.union(*map(set, prints.values()))) == len(prints)
+    twenty = sorted(found[20], key=lambda r: r.n_chars)
+    assert [r.n_chars for r in twenty] == sorted(len(t) for t in texts[20]) and {frozenset(by_loop(t)) for t in texts[20]} == {frozenset(by_loop(texts[20][0])), frozenset(by_loop(texts[20][1]))}
+    ends = {(twenty[0].edited_sha256, twenty[1].edited_sha256)}
+    a, b = sorted(texts[20], key=len)
+    after = order[[d for d, _ in order].index(20) + 2][1]
+    sha = lambda x, y: hashlib.sha256(s.edited(x, y).encode()).hexdigest()
+    assert ends <= {(sha(a, b), sha(b, after)), (sha(a, after), sha(b, a))}

@@ -28,3 +28,17 @@ def test_empty(spark):
     captures, entries = frames(spark)
     assert u.evaluate(captures.limit(0), entries).count() == 0
     assert not any(r.blocked for r in u.evaluate(captures, entries.limit(0)).collect())
+
+
+def test_long_urls_and_names_of_results(spark):
+    """A path of very many steps costs only as many keys as the rules are deep; the caller's columns stay."""
+    _, entries = frames(spark)
+    deep = "http://" + "s." * 50 + "evil.com/" + "//".join("ab" for _ in range(20000))
+    rows = [(1, deep, date(2024, 1, 20), "h", True, "l", "s", "k"), (2, "http://www.a.org//x//" + "y/" * 9000, date(2024, 6, 1), "h", False, "l", "s", "k")]
+    captures = spark.createDataFrame(rows, "id int, url string, fetched date, host string, Blocked boolean, lists string, since string, _host string")
+    out = u.evaluate(captures, entries)
+    assert out.columns == [*captures.columns, "host_", "blocked_", "lists_", "since_"]
+    got = sorted(out.collect())
+    assert [(r.host, r.blocked_, r.lists_) for r in got] == [("h", True, "bad"), ("h", True, "other")] and got[1].Blocked is False
+    longest = max(len(x) for x in (r.k for r in captures.select(u.keys(u.host(captures.url), u.path(captures.url), 2, 1).alias("k")).collect()))
+    assert longest <= 4
