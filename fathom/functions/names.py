@@ -96,6 +96,16 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+def quoted(text: Column) -> Column:
+    """A text as a quoted literal: quotes, backslashes, tabs, line feeds and other controls are escaped."""
+    for raw, safe in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    rest = text
+    for code in (*range(9), 11, 12, *range(13, 32), 127):
+        rest = F.replace(rest, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1F\x7F]"), rest).otherwise(text), F.lit('"'))
+
+
 def break_within(name: Column) -> Column:
     """Each component of a name in a span of its own."""
     return F.array_join(F.transform(F.split(name, r"\."), lambda p: F.concat(F.lit('<span class="name">'), escape_html(p), F.lit("</span>"))), ".")
@@ -159,6 +169,16 @@ def fold(text: Column) -> Column:
     return F.lower(text)
 
 
+def ascii_fold(text: Column) -> Column:
+    """Folding of the letters A to Z only, as a reader without tables does it."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def folds_apart(text: Column) -> Column:
+    """The folded text where folding A to Z only isn't enough, else null: the exceptions that an index lists."""
+    return F.when(fold(text) != ascii_fold(text), fold(text))
+
+
 def heading_id(text: Column) -> Column:
     """Plain text of a heading as an anchor: runs of punctuation, separators and controls become one hyphen."""
     return F.array_join(F.filter(F.split(text, r"[\p{P}\p{Z}\p{C}]+"), lambda p: p != ""), "-")

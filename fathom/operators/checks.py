@@ -31,3 +31,15 @@ def gate(broken: DataFrame, compared: DataFrame) -> None:
         raise AssertionError("nothing was compared")
     if rows := broken.limit(20).collect():
         raise AssertionError("broken: " + "; ".join(str(r.asDict()) for r in rows))
+
+
+def work_bound(extracted: int, rendered: int, modules: int, map_reused: bool) -> list[str]:
+    """What is wrong with the work of a build after one module changed: it must be noticed, and cost neither all pages nor a new link map."""
+    wrong = []
+    if extracted < 1:
+        wrong.append("no module was extracted")
+    if not 1 <= rendered < modules:
+        wrong.append(f"{rendered} of {modules} pages were rendered")
+    if not map_reused:
+        wrong.append("the link map was written anew")
+    return wrong

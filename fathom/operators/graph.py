@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.operators.order import cut
+from fathom.operators.order import cut, joined
 
 MODES = ("self", "referrers", "importers", "all")
 
@@ -17,20 +17,22 @@ def reverse(edges: DataFrame, source: str = "src", target: str = "dst") -> DataF
 def closure(seeds: DataFrame, edges: DataFrame, origin: bool = False) -> DataFrame:
     """Nodes reached from ``seeds`` (node) over ``edges`` (src, dst) in one step or more: a seed only if reached again.
 
-    With ``origin`` each seed has its own closure and the result is (origin, node).  Each round joins only the last round's new nodes.
+    With ``origin`` each seed has its own closure and the result is (origin, node).  Each round joins only the last round's new nodes, and
+    only writes them: what was seen is the union of all rounds' tables, so a chain of depth d is written once and not d times.
     """
     keys = ["origin", "node"] if origin else ["node"]
-    edges = edges.select("src", "dst").distinct()
+    edges = cut(edges.select("src", "dst").distinct())
     start = seeds.select(*([F.col("node").alias("origin")] if origin else []), "node").distinct()
 
     def step(front: DataFrame) -> DataFrame:
         return front.withColumnRenamed("node", "src").join(edges, "src").select(*keys[:-1], F.col("dst").alias("node")).distinct()
 
-    seen = front = cut(step(start))
+    front = cut(step(start))
+    fronts = [front]
     while not front.isEmpty():
-        front = cut(step(front).join(seen, keys, "left_anti"))
-        seen = cut(seen.unionByName(front))
-    return seen
+        front = cut(step(front).join(joined(fronts), keys, "left_anti"))
+        fronts.append(front)
+    return joined(fronts)
 
 
 def impact(changed: DataFrame, imports: DataFrame, refs: DataFrame, nodes: DataFrame, mode: str) -> DataFrame:
@@ -82,3 +84,10 @@ def closure_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def missing(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Targets of edges that aren't nodes."""
     return edges.select(F.col("dst").alias("node")).distinct().join(nodes.select("node"), "node", "left_anti")
+
+
+def transitive(direct: DataFrame, edges: DataFrame, origin: str = "direct", far: str = "transitive") -> DataFrame:
+    """(node, kind): nodes that have a fact themselves (``direct``: node), and those that only reach one over ``edges`` (src, dst)."""
+    own = direct.select("node").distinct()
+    reached = closure(own, reverse(edges)).join(own, "node", "left_anti")
+    return own.select("node", F.lit(origin).alias("kind")).unionByName(reached.select("node", F.lit(far).alias("kind")))

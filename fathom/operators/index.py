@@ -90,3 +90,25 @@ def page_order(items: DataFrame) -> list[Column]:
 def first_owner(constants: DataFrame, name: str, order: str) -> DataFrame:
     """The first module in input order owns a name."""
     return constants.groupBy(name).agg(F.min_by(F.struct("*"), F.col(order)).alias("_row")).select("_row.*")
+
+
+def used_by_rows(refs: DataFrame, declared: DataFrame, target: str, user: str) -> DataFrame:
+    """``used_by`` as a table, a row for each target and user: for targets whose list of users would be too long for one row."""
+    return refs.select(target, user).distinct().join(declared.select(target).distinct(), target, "left_semi")
+
+
+def counts(declared: DataFrame, dependencies: DataFrame, facts: DataFrame, refs: DataFrame, name: str = "name") -> DataFrame:
+    """One row: declarations, dependency_names, classes, types, targets and edges.
+
+    ``declared`` and ``dependencies``: (name); ``facts``: (class, type), null where a declaration is no instance; ``refs``: (name, user).
+    """
+    own = declared.select(name).distinct()
+    one = own.agg(F.count("*").alias("declarations"))
+    one = one.crossJoin(dependencies.select(name).distinct().join(own, name, "left_anti").agg(F.count("*").alias("dependency_names")))  # one row each
+    one = one.crossJoin(facts.agg(F.countDistinct("class").alias("classes"), F.countDistinct("type").alias("types")))
+    return one.crossJoin(used_by_counts(refs, own, name, "user"))
+
+
+def subscripts(rows: DataFrame, values: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with the number that ``dictionary`` gives ``value``."""
+    return rows.join(dictionary(values, value).withColumnRenamed("id", name), value, "left")

@@ -23,6 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(tables: list[DataFrame]) -> DataFrame:
+    """The rows of tables that were cut, read in one scan."""
+    paths = [path.rpartition("/")[0] for t in tables for path in t.inputFiles()[:1]]
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths) if paths else tables[0]
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
     """``rows`` with a number from 0 in ``order``, which must be total.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -114,3 +114,65 @@ def until_stable(step, state, rounds: int = 5):
         if not more:
             return state
     raise RuntimeError(f"references still stale after {rounds} rounds")
+
+
+def ledger(listed: DataFrame, files: DataFrame, strict: bool = True) -> DataFrame:
+    """(module, hash, files): the fingerprint of each listed module over its files, in their fixed order.
+
+    ``listed``: (module); ``files``: (module, ord, path, bytes, hash), bytes -1 where only a hash was read.  A listed module without a file is an
+    error if ``strict`` (a ledger is built whole or not at all), else it has no hash.
+    """
+    own = files.groupBy("module").agg(
+        digest_lines(F.concat_ws(" ", "path", "hash"), F.col("ord"), F.col("path")).alias("hash"),
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", "bytes", F.col("hash").alias("digest")))), lambda f: F.struct(f["path"].alias("path"), f["bytes"].alias("bytes"), f["digest"].alias("hash"))).alias("files"),
+    )
+    out = listed.select("module").distinct().join(own, "module", "left")
+    if strict:
+        lacking = F.raise_error(F.concat(F.lit("no file of module "), F.col("module"))).cast("string")
+        out = out.withColumn("hash", F.when(F.col("hash").isNull(), lacking).otherwise(F.col("hash")))
+    return out
+
+
+def ledger_totals(entries: DataFrame) -> DataFrame:
+    """Modules, files and bytes of a ledger; a size that wasn't measured counts as 0."""
+    size = F.aggregate("files", F.lit(0).cast("long"), lambda n, f: n + F.greatest(f["bytes"], F.lit(0)))
+    return entries.agg(F.count("*").alias("modules"), F.coalesce(F.sum(F.size("files")), F.lit(0)).alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+
+
+#: Scopes of keys: what can change an extracted module, and what can change a page while the modules stay.
+EXTRACT, RENDER = "extract", "render"
+
+
+def key_sets(spark: SparkSession, extract: dict[str, str | None], render: dict[str, str | None]) -> DataFrame:
+    """(scope, key, value) of both key sets; an input that doesn't exist (None) has no row, so that its coming or going is a change."""
+    rows = [(scope, k, v) for scope, keys in ((EXTRACT, extract), (RENDER, render)) for k, v in keys.items() if v is not None]
+    return spark.createDataFrame(rows, "scope string, key string, value string")
+
+
+def moved_keys(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(scope, key) whose value moved, appeared or went between two key sets (scope, key, value)."""
+    a, b = (x.select("scope", "key", F.struct("value").alias(n)) for x, n in ((before, "_a"), (after, "_b")))
+    return a.join(b, ["scope", "key"], "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).select("scope", "key")
+
+
+def stale_by_keys(states: DataFrame, key: str, moved: DataFrame) -> DataFrame:
+    """``stale``, or all present keys if any key of the extract scope moved; decided by a join with one row."""
+    everything = moved.agg(F.coalesce(F.max(F.col("scope") == EXTRACT), F.lit(False)).alias("_all"))
+    rows = states.crossJoin(everything)  # one row on the right
+    return rows.where(F.col("state").isin("changed", "added") | (F.col("_all") & (F.col("state") != "removed"))).select(key)
+
+
+def render_mode(moved: DataFrame, map_moved: bool, otherwise: str) -> str:
+    """`all` if a key of the render scope or the link map moved, else the mode asked for."""
+    return "all" if map_moved or not moved.where(F.col("scope") == RENDER).isEmpty() else otherwise
+
+
+def render_subset(modules: DataFrame, chosen: DataFrame | None, key: str = "module") -> DataFrame:
+    """Modules to render: all of them without a choice; an empty choice chooses nothing."""
+    return modules if chosen is None else modules.join(chosen.select(key).distinct(), key, "left_semi")
+
+
+def change_digest(states: DataFrame, key: str, group: list[str] | None = None) -> DataFrame:
+    """One digest of a change (key, state, hash): sha256 over its ordered lines; what a watcher compares between polls."""
+    lines = states.where("state <> 'same'")
+    return lines.groupBy(*(group or [])).agg(digest_lines(F.concat_ws(" ", "state", key, F.coalesce("hash", F.lit("-"))), F.col("state"), F.col(key)).alias("digest"), F.count("*").alias("changes"))

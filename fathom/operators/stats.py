@@ -134,3 +134,22 @@ def link_report(roots: DataFrame, known: DataFrame, module_root: Column) -> Data
 def full_passes(reads: DataFrame, kind: str, modules: int) -> DataFrame:
     """Reads by kind, and how many passes over all modules they amount to."""
     return reads.groupBy(kind).agg(F.count("*").alias("reads")).withColumn("passes", F.col("reads") / F.lit(max(1, modules)))
+
+
+def name_collisions(refs: DataFrame, binders: DataFrame) -> DataFrame:
+    """(declaration, collisions, shadowed): last components that several references of a declaration share, and binders that hide one.
+
+    ``refs``: (declaration, name), ``binders``: (declaration, binder).
+    """
+    short = F.substring_index("name", ".", -1)
+    leaves = refs.groupBy("declaration", short.alias("short")).agg(F.count("*").alias("n"))
+    clash = leaves.where("n > 1").groupBy("declaration").agg(F.count("*").alias("collisions"))
+    hidden = binders.select("declaration", F.col("binder").alias("short")).distinct().join(leaves, ["declaration", "short"], "left_semi")
+    hidden = hidden.groupBy("declaration").agg(F.count("*").alias("shadowed"))
+    out = refs.select("declaration").distinct().join(clash, "declaration", "left").join(hidden, "declaration", "left")
+    return out.na.fill(0, ["collisions", "shadowed"])
+
+
+def tree_bytes(entries: DataFrame) -> DataFrame:
+    """Files and bytes of an index's entries."""
+    return entries.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))

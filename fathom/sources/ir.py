@@ -9,8 +9,9 @@ import urllib.parse
 import urllib.request
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathom.functions.names import utf16_key
 
@@ -34,23 +35,33 @@ MODULE = (
     "tactics ARRAY<STRUCT<internalName: STRING, userName: STRING, tags: ARRAY<STRING>, docString: STRING>>, "
     f"declarations ARRAY<STRUCT<{DECLARATION}>>"
 )
+#: Lines of a link map that are searched for a header together.
+BLOCK = 10_000
 DEPENDENCY = "schemaVersion BIGINT, package STRING, declarations MAP<STRING, STRING>"
 
 
-def _keys(schema: str, spark: SparkSession) -> list[str]:
-    return spark.createDataFrame([], schema).columns
+def _unknown(text: Column, kind: T.StructType, path: str = "") -> Column:
+    """Keys of a JSON object, and of the objects in its arrays, that the schema doesn't have, with the way to them."""
+    none = F.array().cast("array<string>")
+    own = F.array_except(F.coalesce(F.json_object_keys(text), none), F.array(*[F.lit(f.name) for f in kind]))
+    found = [F.transform(own, lambda k: F.concat(F.lit(path), k))]
+    for field in kind:
+        if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType):
+            parts = F.coalesce(F.from_json(F.get_json_object(text, f"$.{field.name}"), "array<string>"), none)
+            found.append(F.flatten(F.transform(parts, _inside(field.dataType.elementType, f"{path}{field.name}."))))
+    return F.array_distinct(F.concat(*found))
 
 
-def _strict(raw: DataFrame, schema: str, path: str = "$") -> Column:
-    """Error unless every key of a JSON object is in the schema."""
-    known = F.array(*[F.lit(k) for k in _keys(schema, raw.sparkSession)])
-    extra = F.array_except(F.json_object_keys("value"), known)
-    return F.when(F.size(extra) > 0, F.raise_error(F.concat(F.lit("unknown keys: "), F.array_join(extra, ", "), F.lit(" in "), F.col("_path"))))
+def _inside(kind: T.StructType, path: str):
+    return lambda text: _unknown(text, kind, path)
 
 
 def _read(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """JSON files, one row each; a key that the schema doesn't have, at any depth, is refused."""
     raw = spark.read.text(pattern, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
-    known = _strict(raw, schema)
+    extra = _unknown(F.col("value"), T.StructType.fromDDL(schema))
+    raw = raw.withColumn("_extra", extra)
+    known = F.when(F.size("_extra") > 0, F.raise_error(F.concat(F.lit("unknown keys: "), F.array_join("_extra", ", "), F.lit(" in "), F.col("_path"))))
     row = F.from_json(F.when(known.isNull(), F.col("value")), schema, {"mode": "FAILFAST"})
     return raw.select("_path", row.alias("r")).select("_path", "r.*")
 
@@ -113,26 +124,23 @@ def dependency_maps(spark: SparkSession, root: str) -> DataFrame:
 def link_map(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
     """(name, module, line_from, line_to) and (module) of link maps.
 
-    Lines are `#` comments, `@` modules, headers (a module), or entries under the last header, which begin with a tab.  A file is
-    one row, so that an entry always finds its header; of repeated names the last wins.
+    Lines are `#` comments, `@` modules, headers (a module), or entries under the last header, which begin with a tab.  Lines are numbered by
+    where they are in their file; those of a file are cut into blocks of BLOCK lines, an entry takes the last header of its block or else
+    the last one of the blocks before, so no task walks a whole map.  Of repeated names the last wins.
     """
     text = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
-    text = text.where(~F.col("line").startswith("#") & (F.trim("line") != ""))
-    module = text.where(~F.col("line").startswith("\t")).select(F.when(F.col("line").startswith("@"), F.substring("line", 2, 1 << 20)).otherwise(F.col("line")).alias("module")).distinct()
-    # the last header at or before each line: headers and entries of a file, by place
-    lines = text.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("lines"))
-    start = F.struct(F.lit(None).cast("string").alias("head"), F.array().cast("array<struct<i:int,module:string,line:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        entry = x["line"].startswith("\t")
-        head = F.when(entry | x["line"].startswith("@"), acc["head"]).otherwise(x["line"])
-        out = F.when(entry, F.concat(acc["out"], F.array(F.struct(x["i"].alias("i"), head.alias("module"), x["line"].alias("line"))))).otherwise(acc["out"])
-        return F.struct(head.alias("head"), out.alias("out"))
-
-    found = lines.select("path", F.explode(F.aggregate("lines", start, step, lambda a: a["out"])).alias("e")).where("e.module is not null")
-    part = F.split("e.line", "\t")
-    rows = found.select("path", F.col("e.i").alias("i"), part[1].alias("name"), F.col("e.module").alias("module"), F.get(part, F.lit(2)).cast("long").alias("line_from"), F.get(part, F.lit(3)).cast("long").alias("line_to"))
-    rows = rows.groupBy("name").agg(F.max_by(F.struct("module", "line_from", "line_to"), F.struct("path", "i")).alias("v")).select("name", "v.*")
+    text = text.where(~F.col("line").startswith("#") & (F.trim("line") != "")).withColumn("block", F.floor(F.col("i") / BLOCK))
+    entry, listed = F.col("line").startswith("\t"), F.col("line").startswith("@")
+    module = text.where(~entry).select(F.when(listed, F.substring("line", 2, 1 << 20)).otherwise(F.col("line")).alias("module")).distinct()
+    head = F.when(~entry & ~listed, F.col("line"))
+    last = text.withColumn("head", head).groupBy("path", "block").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("i"))).alias("own"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("path", "block", F.last("own", ignorenulls=True).over(earlier).alias("before"))
+    inside = Window.partitionBy("path", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    found = text.withColumn("own", F.last(head, ignorenulls=True).over(inside)).where(entry).join(last, ["path", "block"])
+    part = F.split("line", "\t")
+    rows = found.select("path", "i", part[1].alias("name"), F.coalesce("own", "before").alias("module"), F.get(part, F.lit(2)).cast("long").alias("line_from"), F.get(part, F.lit(3)).cast("long").alias("line_to"))
+    rows = rows.where("module is not null").groupBy("name").agg(F.max_by(F.struct("module", "line_from", "line_to"), F.struct("path", "i")).alias("v")).select("name", "v.*")
     return rows, module
 
 
