@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the checkpoint folder that all executors share; one is set only where none is."""
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share; one is set only where none is."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fathom-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """End the lineage: write ``df`` as Parquet below the shared folder and read it back."""
+    path = f"{_shared(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one, as a path that both Spark and plain files know."""
+    return re.sub(r"^file:/+", "/", f"{_shared(spark)}/files-{uuid.uuid4().hex}")
 
 
 def joined(tables: list[DataFrame]) -> DataFrame:

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.sources.sinks import write_files
+
 SPAN = "array<struct<start:int,stop:int,kind:int,name:string,front:int,back:int>>"
 
 
@@ -420,16 +422,8 @@ def pages(items: DataFrame, title: Callable[[Column], Column] = lambda m: m) ->
 
 
 def write_pages(rows: DataFrame, root: str) -> int:
-    """A file for each page (path, html) below ``root``; a path that leaves it is refused."""
-    base, n = Path(root).resolve(), 0
-    for r in rows.toLocalIterator():
-        target = (base / r.path).resolve()
-        if base not in target.parents:
-            raise ValueError(f"{r.path} is outside {root}")
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_text(r.html, encoding="utf-8")
-        n += 1
-    return n
+    """A file for each page (path, html) below ``root``, a shared folder; each task writes its own, and a path that leaves it is refused."""
+    return write_files(rows.select("path", F.col("html").alias("body")), root)
 
 
 def prune_pages(root: str, paths: list[str]) -> int:

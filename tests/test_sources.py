@@ -1,10 +1,14 @@
+import hashlib
 import json
+import random
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import search
-from fathom.sources import ir, sinks
+from fathom.operators import search, snapshot
+from fathom.sources import ir, serve, sinks
 
 
 def declaration(name, **more):
@@ -102,7 +106,99 @@ def test_sinks(spark, tmp_path):
     assert json.loads((tmp_path / "a.json").read_text()) == [{"x": "a"}, {"x": "b"}]
     names = spark.createDataFrame([(f"Pkg.n{i:03}", "def" if i % 2 else "theorem") for i in range(40)] + [("Pkg.\U0001d49c" + "x" * 400, "def")], "name string, kind string")
     coded = search.front_coded(names, "name").join(names, "name").withColumn("module_id", F.lit(3))
-    assert sinks.encode_index(coded, ["def", "theorem"], str(tmp_path / "i.bin")) == 41
-    assert sorted((n, k) for _, n, k, _ in sinks.decode_index(str(tmp_path / "i.bin"))) == sorted((r.name, r.kind) for r in names.collect())
+    assert sinks.write_search_index(coded, ["def", "theorem"], str(tmp_path / "i.bin")) == 41
+    assert sorted((n, k, m) for _, n, k, m, _ in sinks.read_search_index(str(tmp_path / "i.bin"))) == sorted((r.name, r.kind, 3) for r in names.collect())
     n = sinks.write_tree(spark.createDataFrame([("A", json.dumps({"schemaVersion": 5, "module": "A", "declarations": []}))], "module string, body string"), str(tmp_path / "tree"))
     assert n == 1 and [r.module for r in ir.modules(spark, str(tmp_path / "tree")).collect()] == ["A"]
+
+
+def test_tree_has_hashes_and_dependency_maps(spark, tmp_path):
+    bodies = [(m, json.dumps({"schemaVersion": 5, "module": m, "declarations": [{"name": f"{m}.f", "members": [{"name": "x"}]}] * n})) for m, n in (("A", 1), ("B.C", 2))]
+    deps = spark.createDataFrame([("Dep", "Dep.f", "Dep.M"), ("Dep", "Dep.g", "Dep.N"), ("Other", "o", "O")], "package string, name string, module string")
+    root = str(tmp_path / "tree")
+    assert sinks.write_tree(spark.createDataFrame(bodies, "module string, body string"), root, deps) == 2
+    listed = {r.module: r for r in ir.entries(ir.open_tree(spark, root)).collect()}
+    for m, body in bodies:
+        assert listed[m].contentHash == hashlib.sha256(body.encode()).hexdigest() and listed[m].bytes == len(body) and listed[m].declarations == len(json.loads(body)["declarations"])
+    assert sorted(tuple(r) for r in ir.dependency_maps(spark, root).collect()) == [("Dep", "Dep.f", "Dep.M"), ("Dep", "Dep.g", "Dep.N"), ("Other", "o", "O")]
+
+
+@pytest.mark.parametrize("where", ["declaration", "member", "doc", "tactic", "index", "dependency"])
+def test_unknown_keys_at_any_depth_are_refused(spark, tmp_path, where):
+    odd = lambda which, **rest: rest | ({"odd": 1} if which == where else {})
+    body = {"schemaVersion": 5, "module": "A", "moduleDocs": [odd("doc", line=1, col=0, text="t")], "tactics": [odd("tactic", userName="t")], "declarations": [{"name": "A.e"}, odd("declaration", name="A.f", members=[{"name": "x"}, odd("member", name="y")])]}
+    (tmp_path / "modules").mkdir()
+    (tmp_path / "modules" / "A.json").write_text(json.dumps(body))
+    index = {"schemaVersion": 5, "modules": [odd("index", module="A", file="modules/A.json")], "dependencyMaps": [odd("dependency", package="P", file="deps/P.json")]}
+    (tmp_path / "index.json").write_text(json.dumps(index))
+    with pytest.raises(Exception, match="unknown keys.*odd"):
+        ir.modules(spark, str(tmp_path)).collect()
+
+
+def test_link_map_over_blocks(spark, tmp_path, monkeypatch):
+    """Entries find the last header, however far before; entries before any header are dropped."""
+    monkeypatch.setattr(ir, "BLOCK", 7)
+    rng = random.Random(3)
+    lines, head, want, listed = ["\tlost"], None, {}, set()
+    for i in range(300):
+        kind = rng.random()
+        if kind < 0.06:
+            head = f"M{i}"
+            lines.append(head)
+            listed.add(head)
+        elif kind < 0.1:
+            lines.append(rng.choice(["# note", "", f"@L{i}"]))
+            listed |= {lines[-1][1:]} if lines[-1].startswith("@") else set()
+        else:
+            name = f"n{rng.randrange(150)}"
+            lines.append(f"\t{name}\t{i}\t{i + 1}" if i % 3 else f"\t{name}")
+            if head:
+                want[name] = (head, i if i % 3 else None)
+    (tmp_path / "a.lidx").write_text("\n".join(lines))
+    rows, modules = ir.link_map(spark, str(tmp_path / "a.lidx"))
+    assert {r.name: (r.module, r.line_from) for r in rows.collect()} == want and {r.module for r in modules.collect()} == listed
+
+
+def test_ledger_docs_map_and_artifacts(spark, tmp_path):
+    files = spark.createDataFrame([("B", 1, "b.x", 5, "h1"), ("A", 2, "a.y", -1, "h2"), ("A", 1, "a.x", 7, "h3")], "module string, ord int, path string, bytes long, hash string")
+    listed = spark.createDataFrame([("A",), ("B",)], "module string")
+    entries = snapshot.ledger(listed, files)
+    assert tuple(snapshot.ledger_totals(entries).first()) == (2, 3, 12)
+    path = str(tmp_path / "ledger.json")
+    sinks.write_ledger(entries, path, {"ledgerSchema": 2, "algorithm": "sha256", "target": "t", "libDir": "l"}, {"k": "v"}, None)
+    text = (tmp_path / "ledger.json").read_text()
+    assert list(json.loads(text)) == ["ledgerSchema", "algorithm", "target", "libDir", "extractKey", "modules"] and text.endswith("]}\n") and ", " not in text
+    back, keys = sinks.read_ledger(spark, path)
+    digest = hashlib.sha256(b"a.x h3\na.y h2").hexdigest()
+    assert {r.module: r.hash for r in back.collect()} == {r.module: r.hash for r in entries.collect()} and [tuple(r) for r in keys.collect()] == [("extract", "k", "v")]
+    assert next(r.hash for r in back.collect() if r.module == "A") == digest
+    with pytest.raises(Exception, match="no file of module C"):
+        snapshot.ledger(listed.unionByName(spark.createDataFrame([("C",)], "module string")), files).collect()
+    assert snapshot.ledger(spark.createDataFrame([("C",)], "module string"), files, strict=False).first().hash is None
+    sites = spark.createDataFrame([("Dep", "https://d/", 2)], "root string, base string, requestedNames long")
+    links = spark.createDataFrame([("Dep", "Dep.f", "Dep/M.html#Dep.f")], "root string, name string, link string")
+    sinks.write_docs_map(sites, links, links.limit(0), str(tmp_path / "d.json"), "tool")
+    got = sinks.read_docs_map(spark, str(tmp_path / "d.json"))
+    assert [x.count() for x in got] == [1, 1, 0] and got[1].first().link == "Dep/M.html#Dep.f"
+    with pytest.raises(ValueError):
+        sinks.read_docs_map(spark, str(tmp_path / "d.json"), version=9)
+    found = {x: b"x" for x in sinks.ARTIFACTS} | {"modules.json": (listed, ["module"])}
+    assert sinks.write_artifacts(found, str(tmp_path / "site")) == list(sinks.ARTIFACTS) and len([x for x in (tmp_path / "site").rglob("*") if x.is_file()]) == 9
+    with pytest.raises(ValueError):
+        sinks.write_artifacts({"index.html": b""}, str(tmp_path / "site"))
+
+
+def test_server_and_download(tmp_path):
+    site = tmp_path / "site"
+    (site / "A").mkdir(parents=True)
+    (site / "A" / "B.html").write_text("page")
+    (site / "404.html").write_text("none here")
+    (tmp_path / "secret").write_text("no")
+    with serve.serving(str(site)) as base:
+        assert ir.download(f"{base}/A/B.html", str(tmp_path / "got" / "b")) == 4 and (tmp_path / "got" / "b").read_text() == "page"
+        for path in ("/nothing.html", "/../secret", "/%2e%2e/secret", "/A/"):
+            with pytest.raises(urllib.error.HTTPError) as error:
+                urllib.request.urlopen(base + path)
+            assert error.value.code == 404 and error.value.read() == b"none here"
+    with pytest.raises(ValueError):
+        ir.download("file:///etc/passwd", str(tmp_path / "x"))
