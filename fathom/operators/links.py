@@ -144,3 +144,33 @@ def verified_docs(expected: DataFrame, table: DataFrame) -> DataFrame:
     page = F.regexp_replace(F.regexp_replace("doc_link", "#.*$", ""), r"^(\./)+", "")
     state = F.when(F.col("doc_link").isNull(), "missing").when(page == N.page_path(F.col("module")), "found").otherwise("elsewhere")
     return rows.withColumn("state", state)
+
+
+def docstring_links(wanted: DataFrame, known: DataFrame, modules: DataFrame, declared: DataFrame) -> DataFrame:
+    """(page, name, module, anchor) of names in docstrings (page, name) that link somewhere, by the first rule that fits: a known name that
+    isn't private, a module, or the first declaration of the same page that agrees with it from the end.  A text that is no name as source
+    code would spell it only links to the one module that is spelled like it without guillemets.
+
+    ``known``: (name, module), one row a name; ``modules``: (module); ``declared``: (page, name, ord).  A page's declarations and names meet on
+    suffixes by equality, as in ``suffix_match``.
+    """
+    rows = wanted.select("page", "name").distinct().withColumn("_literal", N.is_name(F.col("name")))
+    public = known.where(~F.col("name").startswith(N.PRIVATE))
+    rows = rows.join(public.select("name", F.col("module").alias("_known"), F.lit(True).alias("_literal")), ["name", "_literal"], "left")
+    rows = rows.join(unescaped(modules).select(F.col("spelling").alias("name"), F.col("module").alias("_spelled"), F.lit(False).alias("_literal")), ["name", "_literal"], "left")
+    rows = rows.join(modules.select(F.col("module").alias("name")).distinct().withColumn("_is", F.lit(True)), "name", "left")
+
+    def suffixes(c: str) -> Column:
+        parts = F.split(c, r"\.")
+        return F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+
+    open_ = rows.where("_literal and _known is null and _is is null").select("page", "name")
+    have = declared.select("page", F.col("name").alias("match"), "ord")
+    longer = open_.join(have.withColumn("name", suffixes("match")), ["page", "name"])
+    shorter = open_.withColumn("match", suffixes("name")).join(have, ["page", "match"])
+    both = longer.select("page", "name", "match", "ord").unionByName(shorter.select("page", "name", "match", "ord"))
+    near = both.groupBy("page", "name").agg(F.min_by("match", F.struct("ord", "match")).alias("_match"))
+    rows = rows.join(near, ["page", "name"], "left")
+    module = F.coalesce("_known", "_spelled", F.when(F.col("_is") & F.col("_literal"), F.col("name")), F.when(F.col("_match").isNotNull(), F.col("page")))
+    anchor = F.when(F.col("_known").isNotNull(), F.col("name")).when(F.col("_is").isNull() & F.col("_spelled").isNull(), F.col("_match"))
+    return rows.select("page", "name", module.alias("module"), anchor.alias("anchor")).where("module is not null")

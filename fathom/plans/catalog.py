@@ -378,17 +378,6 @@ def linkable_parents(spark, d):
     return links.linkable_parent(want, known)
 
 
-@query("""SELECT c_custkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'docs:' || n_name WHEN r_regionkey > 2 THEN 'source:' || r_name WHEN n_nationkey % 3 = 0 THEN NULL ELSE 'page:' || n_nationkey END AS url
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
-def link_precedence(spark, d):
-    nation = table(spark, d, "nation")
-    region = table(spark, d, "region").where("r_regionkey > 2").select(F.col("r_regionkey").alias("n_regionkey"), F.concat(F.lit("source:"), "r_name").alias("base"))
-    rows = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, "n_regionkey", "left")
-    docs = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("docs:"), "n_name"))
-    url = F.coalesce(docs, "base", F.when(F.col("n_nationkey") % 3 != 0, F.concat(F.lit("page:"), F.col("n_nationkey"))))
-    return rows.select(F.col("c_custkey").alias("k"), url.alias("url"))
-
-
 @query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.m IS NULL THEN 'only a' WHEN a.m IS NULL THEN 'only b' WHEN a.m = b.m THEN 'same' ELSE 'moved' END AS state,
 CASE WHEN b.m IS NULL THEN a.m IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 2) WHEN a.m IS NULL THEN b.m IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 1) END AS known
 FROM (SELECT l_partkey AS k, min(l_suppkey) AS m FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) a FULL JOIN (SELECT l_partkey AS k, min(l_suppkey) AS m FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) b ON a.k = b.k""".replace(
@@ -433,7 +422,11 @@ def kinds_and_escapes(spark, d):
     return rows.select("p_name", F.concat(F.lit("c:"), N.kind_class(kind)).alias("kind"), N.escape_html(F.concat("p_brand", F.lit("<&>"))).alias("safe"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, event_type <> 'purchase' AS work, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT user_id, n, event_id, event_type AS previous, CAST(NULL AS VARCHAR) AS acted, CASE WHEN work THEN 'settling' ELSE 'idle' END AS step FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.n, e.event_id, e.event_type, CASE WHEN e.work AND e.event_type = s.previous AND e.event_type IS DISTINCT FROM s.acted THEN e.event_type ELSE s.acted END,
+CASE WHEN NOT e.work THEN 'idle' WHEN e.event_type <> s.previous THEN 'settling' WHEN e.event_type IS NOT DISTINCT FROM s.acted THEN 'skip' ELSE 'rebuild' END FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT CAST(user_id AS VARCHAR) AS target, event_id AS seq, previous AS digest, step FROM s""")
 def watch_settle(spark, d):
     """Every user's events as polled readings: the digest is the type, purchases are no work."""
     rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("target"), F.col("event_id").alias("seq"), F.col("event_type").alias("digest"), (F.col("event_type") != "purchase").alias("work"))
