@@ -38,6 +38,8 @@ K = 13
 GRAM = 4
 #: Packed bytes that one bucket should hold.
 BUCKET_BYTES = 8 << 20
+#: Tasks that the buckets are dealt to at most; a task holds one bucket at a time.
+TASKS_MOST = 200_000
 #: Windows of one minimiser that make it heavy, about an eighth of a bucket; and how many heavy ones there may be, about.
 HEAVY_WINDOWS, HEAVY_MOST = 50_000, 1 << 22
 #: Ways that the slices of a heavy window are dealt to the join with its answer.
@@ -315,7 +317,7 @@ def repeated_words(docs: DataFrame, k: int = K) -> DataFrame:
     sizes = docs.select(F.octet_length("text").alias("n"), F.spark_partition_id().alias("task")).groupBy("task").agg(F.sum("n").alias("n"))
     total, tasks = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     heavy = spark.sparkContext.broadcast(heavy_minimisers(rows, k, total, max(1, tasks)))
-    tasks = max(partitions(spark), -(-3 * total // (8 * BUCKET_BYTES)))
+    tasks = max(partitions(spark), min(-(-3 * total // (8 * BUCKET_BYTES)), TASKS_MOST))
     n_buckets = tasks * max(1, -(-3 * total // (tasks * BUCKET_BYTES)))  # as many for each task
     sent = rows.mapInArrow(_send(k, n_buckets, heavy), _SENT_SQL)
     with arrow_batches(spark, "8m"):
