@@ -48,7 +48,7 @@ DENSE = ORDER - 2
 #: Bytes of automata that a worker keeps.
 KEPT_BYTES = 96 << 20
 #: Texts advance together in pieces of so many bytes.
-PIECE = 1024
+PIECE = 256
 CONFIDENCE = 100
 #: Bits a byte beyond which letters are in no language.  Measured on sf0.1, learned on 300 texts a language: held-out texts cost at
 #: most 4.7 as a whole and 8.2 on their letters (9.0 in capitals), random letters 14.2 at least and random words 13.3.
@@ -103,7 +103,8 @@ class Automaton:
         word = (at - n * 256) >> 6
         self.bits = np.zeros((len(tree.escape) - n) * 4, np.uint64)
         np.bitwise_or.at(self.bits, word, np.uint64(1) << (at & 63).astype(np.uint64))
-        self.base = np.searchsorted(word, np.arange(len(self.bits))).astype(np.int32)
+        #: the place behind the last byte of each word of the set
+        self.over = np.searchsorted(word, np.arange(len(self.bits)), side="right").astype(np.int32)
         #: where a byte leads: to the context with it, or as the context without its first byte does
         self.next = np.zeros(len(at), np.int32)
         for a, b in zip(levels[DENSE + 1 :], levels[DENSE + 2 :], strict=False):
@@ -116,40 +117,40 @@ class Automaton:
             self.next[np.searchsorted(at, reached[own])] = child[own]
 
     def size(self) -> int:
-        return sum(x.nbytes for x in (self.step, self.cost, self.seen, self.escape, self.shorter, self.bits, self.base, self.next))
+        return sum(x.nbytes for x in (self.step, self.cost, self.seen, self.escape, self.shorter, self.bits, self.over, self.next))
 
     def advance(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each byte in its state, and the next states."""
         n = self.n
-        bits = np.zeros(len(state), np.float32)
-        deep = np.flatnonzero(state >= n)
+        own = state - n
+        deep = np.flatnonzero(own >= 0)
+        cell = (state << 8) | byte
         if not len(deep):
-            cell = state * 256 + byte
-            return self.cost[cell], self.step[cell]
-        done = np.zeros(len(state), bool)
+            return self.cost.take(cell), self.step.take(cell)
+        bits = np.zeros(len(state), np.float32)
         after = np.empty(len(state), np.int32)
-        state = state.copy()
-        own, b = state[deep] - n, byte[deep]
+        done = np.zeros(len(state), bool)
+        own, b = own.take(deep), byte.take(deep)
         while len(deep):
-            word = own * 4 + (b >> 6)
-            held, bit = self.bits[word], (b & 63).astype(np.uint64)
-            hit = ((held >> bit) & np.uint64(1)).astype(bool)
-            at = deep[hit]
-            found = self.base[word[hit]] + np.bitwise_count(held[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
-            bits[at] += self.seen[found]
-            after[at] = self.next[found]
+            word = (own << 2) | (b >> 6)
+            above = self.bits.take(word) >> (b & 63).astype(np.uint64)  # the byte's own bit and those of greater bytes
+            hit = (above & np.uint64(1)).astype(bool)
+            seen, miss = np.flatnonzero(hit), np.flatnonzero(~hit)
+            at = deep.take(seen)
+            found = self.over.take(word.take(seen)) - np.bitwise_count(above.take(seen))
+            bits[at] += self.seen.take(found)
+            after[at] = self.next.take(found)
             done[at] = True
-            miss = ~hit
-            deep, own, b = deep[miss], own[miss], b[miss]
-            bits[deep] += self.escape[own]
-            short = self.shorter[own]
-            state[deep] = short
-            still = short >= n
-            deep, own, b = deep[still], short[still] - n, b[still]
+            deep, own, b = deep.take(miss), own.take(miss), b.take(miss)
+            bits[deep] += self.escape.take(own)
+            short = self.shorter.take(own)
+            cell[deep] = (short << 8) | b
+            still = np.flatnonzero(short >= n)
+            deep, own, b = deep.take(still), short.take(still) - n, b.take(still)
         rest = np.flatnonzero(~done)
-        cell = state[rest] * 256 + byte[rest]
-        bits[rest] += self.cost[cell]
-        after[rest] = self.step[cell]
+        cell = cell.take(rest)
+        bits[rest] += self.cost.take(cell)
+        after[rest] = self.step.take(cell)
         return bits, after
 
 
