@@ -9,7 +9,8 @@ two empty ones; two sets can be no more alike than the ratio of their lengths, w
 
 The query compares neighbours in the order of doc_id without a sort of the texts on one machine: doc_ids are dealt
 into ranges by approximate quantiles, every range also gets the first document of the next one (the last range that
-of the first), and a task walks its ranges in order.  Texts are shuffled once.  ``similar_texts`` is the general
+of the first), and a task walks its ranges in order.  A doc_id (or null) with more rows than two ranges should hold is dealt into ranges of its own
+by the hashes of its texts, which is its order anyway.  Texts are shuffled once.  ``similar_texts`` is the general
 operator: sets are partitioned by length so that only neighbouring partitions can hold partners.
 
 Defined results.  A null text is empty; an empty text has an empty fingerprint.  Rows that repeat a doc_id are in the
@@ -22,6 +23,7 @@ import base64
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -165,21 +167,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bins = 4 * partitions(spark)
     at = [i / bins for i in range(1, bins)]
-    cuts = sorted({float(c) for c in docs.agg(F.percentile_approx("doc_id", at, 10 * bins)).first()[0] or []})
-    deal = Bucketizer(splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol="at", outputCol="bin")
     # null comes first; as numbers of double precision the order of doc_ids stays, and equal ones stay together
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e19)).alias("at"))
-    rows = deal.transform(rows)
-    firsts = rows.groupBy("bin").agg(F.min("at").alias("head")).orderBy("bin").collect()  # a row for each range
-    pairs = [(h["head"], firsts[i - 1]["bin"]) for i, h in enumerate(firsts)]
-    heads = spark.createDataFrame(pairs, "head double, before double")
+    total, cuts = rows.agg(F.count("*"), F.percentile_approx("at", at, 10 * bins)).first()
+    each = max(1, -(-total // bins))
+    # a doc_id of more rows than a range should hold is a range of its own, dealt into parts by the hashes of its texts
+    hot = {r["at"]: -(-r["n"] // each) for r in rows.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > 2 * each).collect()}  # at most bins / 2
+    edges = sorted({float(c) for c in cuts or [0.0]}.union(hot, (math.nextafter(x, math.inf) for x in hot)))
+    number = [-math.inf, *edges, math.inf]
+    parts = [hot.get(x, 1) for x in number[:-1]]
+    offsets = [0, *accumulate(parts)][:-1]
+    ranges = spark.createDataFrame([(float(i), p, o) for i, (p, o) in enumerate(zip(parts, offsets, strict=True))], "bin double, parts int, first int")
+    hashed = F.xxhash64("text")
+    part = F.least(F.floor((hashed.cast("double") / F.lit(2.0**64) + 0.5) * F.col("parts")).cast("int"), F.col("parts") - 1)
+    rows = Bucketizer(splits=number, inputCol="at", outputCol="bin").transform(rows).join(F.broadcast(ranges), "bin")
+    rows = rows.select("doc_id", "text", "at", hashed.alias("h"), (F.col("first") + part).alias("range"))
+    firsts = rows.groupBy("range").agg(F.min(F.struct("at", "h")).alias("head")).orderBy("range").select("range", "head.*").collect()  # a row for each range
     # the first document of a range also goes, as a guest, behind the rows of the range before it; the first of all behind the last range
-    rows = rows.join(F.broadcast(heads), F.col("at") == F.col("head"), "left")
-    here, there = F.struct("bin", F.lit(False).alias("guest")), F.struct(F.col("before").alias("bin"), F.lit(True).alias("guest"))
-    to = F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))
-    dealt = rows.select("doc_id", "text", F.explode(to).alias("to")).select(F.col("to.bin").cast("int").alias("bin"), "doc_id", "text", F.col("to.guest").alias("guest"))
+    heads = spark.createDataFrame([(r["at"], r["h"], firsts[i - 1]["range"]) for i, r in enumerate(firsts)], "at double, h long, before int")
+    guests = rows.join(F.broadcast(heads), ["at", "h"]).groupBy("before").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    dealt = rows.select("range", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests.select(F.col("before").alias("range"), "doc_id", "text", F.lit(True).alias("guest")))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    return dealt.repartition(bins, "bin").sortWithinPartitions("bin", "guest", *order).mapInArrow(_walk, _OUT_SQL)
+    return dealt.repartition(bins, "range").sortWithinPartitions("range", "guest", *order).mapInArrow(_walk, _OUT_SQL)
 
 
 def similar_texts(docs: DataFrame, least: float = 0.8) -> DataFrame:

@@ -101,3 +101,15 @@ def test_fingerprints_equal_a_plain_walk(spark):
     after = order[[d for d, _ in order].index(20) + 2][1]
     sha = lambda x, y: hashlib.sha256(s.edited(x, y).encode()).hexdigest()
     assert ends <= {(sha(a, b), sha(b, after)), (sha(a, after), sha(b, a))}
+
+
+def test_a_third_of_all_rows_without_doc_id(spark):
+    """Rows of one doc_id are in the order of their texts' hashes, over many ranges; copies of one row stand beside one another."""
+    data = [(None, f"the text of row {i} and the rest of it {i * i}") for i in range(300)] + [(7, "the same text and the same end")] * 200 + [(10 + i, f"a text with number {i} in it") for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    got = s.fingerprints(df).collect()
+    hashed = df.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    texts = [r.text for r in order]
+    want = sorted((repr(r.doc_id), len(t), hashlib.sha256(s.edited(t, texts[(i + 1) % len(texts)]).encode()).hexdigest()) for i, (r, t) in enumerate(zip(order, texts, strict=True)))
+    assert sorted((repr(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == want
