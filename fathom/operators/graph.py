@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.operators.order import cut, joined
+from fathom.operators.order import cut, cut_at
 
 MODES = ("self", "referrers", "importers", "all")
 
@@ -27,12 +27,16 @@ def closure(seeds: DataFrame, edges: DataFrame, origin: bool = False) -> DataFra
     def step(front: DataFrame) -> DataFrame:
         return front.withColumnRenamed("node", "src").join(edges, "src").select(*keys[:-1], F.col("dst").alias("node")).distinct()
 
-    front = cut(step(start))
-    fronts = [front]
+    front, path = cut_at(step(start))
+    paths = [path]
+
+    def seen() -> DataFrame:
+        return front.sparkSession.read.schema(front.schema).parquet(*paths)
+
     while not front.isEmpty():
-        front = cut(step(front).join(joined(fronts), keys, "left_anti"))
-        fronts.append(front)
-    return joined(fronts)
+        front, path = cut_at(step(front).join(seen(), keys, "left_anti"))
+        paths.append(path)
+    return seen()
 
 
 def impact(changed: DataFrame, imports: DataFrame, refs: DataFrame, nodes: DataFrame, mode: str) -> DataFrame:

@@ -23,9 +23,14 @@ def _shared(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """End the lineage: write ``df`` as Parquet below the shared folder and read it back."""
+    return cut_at(df)[0]
+
+
+def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``cut``, and the folder of the written table."""
     path = f"{_shared(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def scratch(spark: SparkSession) -> str:
@@ -33,12 +38,6 @@ def scratch(spark: SparkSession) -> str:
     return re.sub(r"^file:/+", "/", f"{_shared(spark)}/files-{uuid.uuid4().hex}")
 
 
-def joined(tables: list[DataFrame]) -> DataFrame:
-    """The rows of tables that were cut, read in one scan."""
-    paths = [path.rpartition("/")[0] for t in tables for path in t.inputFiles()[:1]]
-    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths) if paths else tables[0]
-
-
 def numbered(rows: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
     """``rows`` with a number from 0 in ``order``, which must be total.
 
