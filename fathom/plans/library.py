@@ -406,7 +406,7 @@ def index_against_names(spark, d):
     return checks.disagreeing(a, b, "k", "v")
 
 
-@query("""SELECT page_id, href, CASE WHEN href LIKE '%a' THEN 'no page' ELSE 'no anchor' END AS reason FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages) WHERE href LIKE '%a' OR href LIKE '%t'""")
+@query(r"""SELECT page_id, href, CASE WHEN href LIKE '%a' THEN 'no page' ELSE 'no anchor' END AS reason FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages) WHERE href LIKE '%a' OR href LIKE '%t'""")
 def dead_page_links(spark, d):
     rows = ir.pages(table(spark, d, "pages"), "page_id", "html").select(F.col("page_id").alias("page"), F.explode("hrefs").alias("target")).distinct()
     rows = rows.withColumn("fragment", F.when(F.col("target").endswith("t"), "x").when(F.col("target").endswith("e"), "y"))
