@@ -132,7 +132,7 @@ def _send(k: int, n_buckets: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         known = heavy.value
-        for batch, texts in tx.chunks(batches, "text"):
+        for batch, texts in tx.chunks(batches, "text", 4 << 20):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(2).to_numpy(zero_copy_only=False)
             w = tx.words_of(texts)

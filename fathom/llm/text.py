@@ -5,6 +5,7 @@ A word is a maximal run of bytes other than ASCII space and 0x09-0x0D.  Null tex
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,8 +18,9 @@ _SEP = np.zeros(256, bool)
 _SEP[list(SEPARATORS)] = True
 _BYTE = np.random.default_rng(3).integers(1, 1 << 63, 256, np.uint64)
 _BLOCK = 1 << 18
+_LIBC = ctypes.CDLL(None)
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 @dataclass
@@ -132,3 +134,11 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             size += n
         if at < len(texts):
             yield batch.slice(at), texts[at:]
+    released()
+
+
+def released() -> None:
+    """Give what a task has freed back to the system, since its worker stays for later tasks of any kind."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
