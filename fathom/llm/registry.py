@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import ann, html, langid, mixing, neardup, packing, secrets, spotsigs, substring, urlfilter
+from fathom.llm import ann, html, langid, mixing, neardup, packing, pit, secrets, spotsigs, substring, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urlfilter.op1_url_filter,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack_lengths": packing.op8_pack_lengths,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_main_text": html.op10_main_text,
+    "op11_point_in_time_join": pit.op11_point_in_time_join,
 }
 #: The others are tested against brute force: SQL cannot express them, or not on whole tables.
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": substring.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
     "op6_secret_scan": secrets.ORACLE,
+    "op11_point_in_time_join": pit.ORACLE,
 }
