@@ -163,7 +163,7 @@ def _answers(k: int, window: tuple[int, int] | None):
         else:
             of = np.repeat(np.arange(len(own)), [len(x) for x in pairs])
             place, positive, score = (np.array([NONE if p[c] is None else p[c] for x in pairs for p in x], np.int64) for c in ("place", "positive_id", "positive_score"))
-            low, high = (np.array([f(p) for p in score.tolist()], np.int64) for f in (lambda p: -(-window[0] * p // 100), lambda p: window[1] * p // 100))
+            low, high = (np.array([max(-BEYOND, min(BEYOND, f(p))) for p in score.tolist()], np.int64) for f in (lambda p: -(-window[0] * p // 100), lambda p: window[1] * p // 100))
         best = Best(len(of), k, low, high)
         forest.search(vectors, part.column("label").to_pylist(), own, of, best, window is None)
         i, j = np.nonzero(np.isfinite(best.score))
@@ -227,7 +227,7 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = POSITIVES,
 
     first = answers(asked.withColumn("pairs", none), positives, None)
     pair = F.struct(F.col("rank").alias("place"), F.col("found_id").alias("positive_id"), F.col("found_score").alias("positive_score"))
-    pairs = first.where(window[0] * F.col("found_score") <= window[1] * F.col("found_score")).groupBy("own").agg(F.collect_list(pair).alias("pairs"))
+    pairs = first.groupBy("own").agg(F.collect_list(pair).alias("pairs"))
     return _named(answers(cut(asked.join(pairs, "own")), negatives, window))
 
 
