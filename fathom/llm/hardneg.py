@@ -108,14 +108,14 @@ class Forest:
     def scores(self, vectors: np.ndarray, length: float, rows: np.ndarray) -> np.ndarray:
         if length * self.length < EXACT:
             return vectors.astype(np.float64) @ self.points[rows].T
-        if length * self.length >= float(BEYOND):
-            raise ValueError("scores exceed 62 bits")
         return vectors @ self.whole[rows].T
 
     def search(self, vectors: np.ndarray, labels: list[str], own: np.ndarray, of: np.ndarray, best: Best, same: bool) -> None:
         """Fill ``best``, whose query i has the vector, label and row number at of[i], with rows of the same label or of others."""
         q = vectors.astype(np.float64)
         length = np.sqrt((q * q).sum(1))
+        if len(q) and length.max() * self.length >= float(BEYOND):
+            raise ValueError("scores exceed 62 bits")
         labels = np.array(labels, object)[of]
         for label, tree in self.trees.items():
             start = np.flatnonzero((labels == label) == same)
