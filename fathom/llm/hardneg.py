@@ -61,10 +61,13 @@ class BallTree:
         self.children.append(None)
         self.rows.append(rows)
         if len(rows) > LEAF and self.radius[at] > 0:
-            far = own[away.argmax()]  # halves along the line from the row farthest out to the one farthest from it
-            along = own @ (own[((own - far) ** 2).sum(1).argmax()] - far)
+            a = own[away.argmax()]  # the row farthest out and the one farthest from it: each takes the rows nearer to it
+            b = own[((own - a) ** 2).sum(1).argmax()]
+            along = own @ (b - a)
             order = np.argsort(along, kind="stable")
-            half = len(rows) // 2
+            half = int((along < (a + b) @ (b - a) / 2).sum())
+            if min(half, len(rows) - half) < len(rows) // 16:  # keeps the tree shallow
+                half = len(rows) // 2
             self.rows[at] = rows[:0]
             self.children[at] = (self._grow(points, rows[order[:half]]), self._grow(points, rows[order[half:]]))
         return at

@@ -61,7 +61,7 @@ def test_large_components(spark):
 @pytest.mark.parametrize("spread", [0.05, 1.0])
 def test_trees_prune_and_stay_exact(spread):
     rng = np.random.default_rng(5)
-    points = np.floor(256 * (rng.standard_normal((40, 8))[rng.integers(0, 40, 4000)] + spread * rng.standard_normal((4000, 8)))).astype(np.int64)
+    points = np.floor(256 * (rng.standard_normal((12, 8))[rng.integers(0, 12, 4000)] + spread * rng.standard_normal((4000, 8)))).astype(np.int64)
     labels = [str(x) for x in rng.integers(0, 3, 4000)]
     forest = h.Forest(points, labels, np.arange(4000), np.arange(4000))
     of = np.repeat(np.arange(20), 2)
