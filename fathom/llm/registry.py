@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import ann, hardneg, html, langid, mixing, neardup, packing, pit, secrets, spotsigs, substring, urlfilter
+from fathom.llm import ann, hardneg, html, langid, lm, mixing, neardup, packing, pit, secrets, spotsigs, substring, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urlfilter.op1_url_filter,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_main_text": html.op10_main_text,
     "op11_point_in_time_join": pit.op11_point_in_time_join,
+    "op12_lm_scores": lm.op12_lm_scores,
     "op13_hard_negatives": hardneg.op13_hard_negatives,
 }
 #: The others are tested against brute force: SQL cannot express them, or not on whole tables.
