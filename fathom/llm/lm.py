@@ -36,7 +36,7 @@ from fathom.llm.text import chunks, mix, released, words_of
 
 #: Chosen by the perplexity of held-out texts: 2,653 on sf0.1 (the root alone: 15,319).
 K2, K3 = 256.0, 4.0
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
 RUN = 512
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -130,20 +130,23 @@ class Tokens:
         count = words.counts()
         length = count + starts + ends
         first = np.concatenate(([0], np.cumsum(length)))
-        doc = np.repeat(np.arange(len(length)), length)
-        nth = np.arange(first[-1]) - first[doc]
+        doc = np.repeat(np.arange(len(length), dtype=np.int32), length)
+        nth = np.arange(first[-1]) - np.repeat(first[:-1], length)
         seq = np.full(first[-1], _END, np.uint64)
-        seq[np.arange(words.n) + np.repeat(first[:-1] + starts - words.first[:-1], count)] = words.hashed()
+        hashed = words.hashed()
+        seq[np.arange(words.n) + np.repeat(first[:-1] + starts - words.first[:-1], count)] = hashed
+        del hashed, words
         start = starts[doc] & (nth == 0)
+        scored = ~start & (nth - starts[doc] >= lead[doc])
         seq[start] = _START
-        two, three = np.flatnonzero(nth >= 1), np.flatnonzero(nth >= 2)
-        one = np.flatnonzero(~start)
+        one, two, three = (np.flatnonzero(x).astype(np.int32) for x in (~start, nth >= 1, nth >= 2))
+        del nth
         tag = lambda x, n: (x & ~np.uint64(7)) | np.uint64(2 * n)
         with np.errstate(over="ignore"):
             pair = seq[two - 1] * _A + seq[two]
             triple = (seq[three - 2] * _A + seq[three - 1]) * _A + seq[three]
         gram = np.concatenate((tag(mix(seq[one]), 0), tag(mix(pair), 1), tag(mix(triple), 2)))
-        return cls(doc, start, ~start & (nth - starts[doc] >= lead[doc]), first, gram, [one, two, three])
+        return cls(doc, start, scored, first, gram, [one, two, three])
 
 
 END_GRAM = (mix(np.array([_END]))[0] & ~np.uint64(7)).item()
@@ -223,8 +226,15 @@ def _scored(tokens: int, kinds: int, texts: int):
         total = np.concatenate([_numbers(x, np.int64) for _, x in parts]) if parts else np.zeros(0, np.int64)
         for row in blocks.to_pylist():
             t = Tokens.of(row)
-            back = np.unique(t.gram, return_inverse=True)[1]
-            t.gram, c, at = t.gram[:0], [], 0
+            order = np.argsort(t.gram)
+            ranked = t.gram[order]
+            t.gram = ranked[:0]
+            nth = np.cumsum(np.concatenate(([False], ranked[1:] != ranked[:-1])), dtype=np.int32)[: len(ranked)]
+            del ranked
+            back = np.empty(len(order), np.int32)
+            back[order] = nth
+            del order, nth
+            c, at = [], 0
             for where in t.where:
                 c.append(np.zeros(len(t.doc), np.int64))
                 c[-1][where] = total[back[at : at + len(where)]]
