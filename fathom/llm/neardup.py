@@ -16,13 +16,12 @@ similarities of its members and returns a spanning forest of the links >= THRESH
 
 A band of more than BLOCK texts or CELL_BYTES is crowded.  Its members are dealt into blocks, each also with the same PIVOTS members
 or so, whatever the number of blocks: a group of near copies hangs together by its pivots, and costs what its members cost.  Where a
-crowded band still holds several components, all members outside its largest one (strays) are compared with all its members, by blocks; if
-the strays fill more than a block, only with those that share a second band too (two texts of similarity 0.8 that share a band share no
-second one with probability 0.00004).  So work is quadratic only in the strays of a crowded pair of bands.
+crowded band still holds several components, all members outside its largest one (strays) are compared with all its members, blocks of the ones with
+blocks of the others, however many they are.  So no link is lost to a crowd, and work is quadratic only in the strays of a crowded band.
 
 Classes are connected components (alternating large-star and small-star, cut in the shared folder each round).  The document frequencies
-of all documents are counted; those of words in at least one in THETA documents are broadcast, at most THETA times the mean number of
-different words of a text; THETA is lower where that could be more than IDF_MOST.
+of all documents are counted; words in fewer than one in THETA documents all have the greatest idf, so only the others' matter.  If these are no more than
+IDF_MOST they are broadcast; if they are more, the weights of its own words are joined to each text and travel with it.
 
 Defined results.  Null, empty and wordless texts are alone: class_id is their own doc_id.  Rows with one word
 sequence, and rows repeated, share a class.  A null doc_id cannot name a class: such rows take the least doc_id of
@@ -51,8 +50,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 #: Words in fewer than one in THETA documents have the greatest idf.
 THETA = 1000
-#: Where that could be more words, so many are broadcast.
-IDF_MOST = 8_000_000
+#: So many idf values are broadcast at most (16 bytes each).
+IDF_MOST = 4_000_000
 #: Texts of one band that a task compares, and their bytes, about; pivots of a crowded band, about.
 BLOCK, CELL_BYTES, PIVOTS = 500, 4 << 20, 16
 LEVELS = 16
@@ -184,13 +183,53 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def inverse_frequencies(docs: DataFrame) -> Idf:
-    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    theta = max(2, min(THETA, 2 * IDF_MOST * n // max(1, size)))  # a text of b bytes has at most b / 2 words
+def inverse_frequencies(docs: DataFrame) -> DataFrame:
+    """(word, idf) of the words in at least one in THETA documents."""
+    n = docs.count()
     counted = docs.select("text").mapInArrow(_frequencies, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
-    words, df = (x.to_numpy() for x in counted.where(F.col("df") * theta >= n).toArrow().columns)
-    value = [round(UNIT * max(0.0, min(1.0, math.log(n / x) / math.log(theta)))) for x in df.tolist()]
-    return Idf(words.view(np.uint64), np.array(value, np.int64))
+    share = F.log(F.lit(float(n)) / F.col("df")) / math.log(THETA)
+    value = F.rint(UNIT * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))).cast("int")
+    return cut(counted.where(F.col("df") * THETA >= n).select("word", value.alias("idf")))
+
+
+def _own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, word) of the different words of each text."""
+    for batch, texts in tx.chunks(batches, "text", 1 << 20):
+        w = tx.words_of(texts)
+        h, owner = w.hashed(), w.doc()
+        with np.errstate(over="ignore"):
+            once = ~pd.Series(h + owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).duplicated().to_numpy()
+        at = pa.array(owner[once])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(h[once].view(np.int64))], names=["doc_id", "key", "word"])
+
+
+def _weighed(rows: DataFrame) -> tuple[DataFrame, Idf]:
+    """``rows`` (doc_id, text, key) with own, and the idf of words: in the table, or in own (the words and idf of a text) where they are too many."""
+    values = inverse_frequencies(rows)
+    if values.count() <= IDF_MOST:
+        words, idf = (x.to_numpy() for x in values.toArrow().columns)
+        return rows.withColumn("own", F.lit(None).cast(_OWN)), Idf(words.view(np.uint64), idf.astype(np.int64))
+    own = rows.mapInArrow(_own_words, "doc_id long, key long, word long").distinct().join(values, "word")
+    own = own.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_text")).agg(F.collect_list("word").alias("words"), F.collect_list("idf").alias("idf"))
+    own = own.select("_doc", "_text", F.struct("words", "idf").alias("own"))
+    joined = rows.join(own, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_text")), "left")
+    return cut(joined.select("doc_id", "text", "key", "own")), Idf(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+_OWN = "struct<words:array<bigint>,idf:array<int>>"
+
+
+def _known(idf: Idf, own: list[tuple[list[int], list[int]] | None]) -> Idf:
+    """The broadcast idf, or that which came with the texts."""
+    lists = [x for x in own if x]
+    if not lists:
+        return idf
+    words, at = np.unique(np.concatenate([np.array(w, np.int64) for w, _ in lists]), return_index=True)
+    return Idf(words.view(np.uint64), np.concatenate([np.array(v, np.int64) for _, v in lists])[at])
+
+
+def _pairs_of(column: pa.Array) -> list[tuple[list[int], list[int]] | None]:
+    return [x and (x["words"], x["idf"]) for x in column.to_pylist()]
 
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("words", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -201,7 +240,7 @@ def _signed(idf):
         for batch, texts in tx.chunks(batches, "text"):
             w = tx.words_of(texts)
             counts = w.counts()
-            has, keys = samples(*elements(w, idf.value)) if w.n else (np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint64))
+            has, keys = samples(*elements(w, _known(idf.value, _pairs_of(batch.column("own"))))) if w.n else (np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint64))
             bands: list = [None] * len(texts)
             for d, k in zip(has.tolist(), keys.astype(np.int64).tolist(), strict=True):
                 bands[d] = k
@@ -211,7 +250,7 @@ def _signed(idf):
     return run
 
 
-_SENT = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("body", pa.binary())])
+_SENT = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("body", pa.binary()), ("own", pa.struct([("words", pa.list_(pa.int64())), ("idf", pa.list_(pa.int32()))]))])
 
 
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +259,7 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before = None
     for batch, texts in tx.chunks(batches, "text", 1 << 20):
         w = tx.words_of(texts)
-        cells, ids, bodies = [], [], []
+        cells, ids, bodies, at = [], [], [], []
         for d, (i, to) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
             if i == before:
                 continue
@@ -229,7 +268,8 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells += to
             ids += [i] * len(to)
             bodies += [body] * len(to)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], schema=_SENT)
+            at += [d] * len(to)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(ids, pa.int64()), pa.array(bodies, pa.binary()), batch.column("own").take(pa.array(at, pa.int64())).cast(_SENT.field("own").type)], schema=_SENT)
 
 
 def _links(ids: np.ndarray, bodies: list[bytes], idf: Idf, threshold: float) -> Iterator[tuple[int, int, float]]:
@@ -284,26 +324,27 @@ _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float
 
 def _verify(idf, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, bytes] = {}
+        held: dict[int, tuple] = {}
         at = None
 
         def out() -> list[tuple]:
             if len(held) < 2:
                 return []
             ids = np.array(sorted(held), np.int64)
-            return list(_links(ids, [held[i] for i in ids.tolist()], idf.value, threshold))
+            bodies, own = zip(*(held[i] for i in ids.tolist()), strict=True)
+            return list(_links(ids, list(bodies), _known(idf.value, list(own)), threshold))
 
         def table_of(rows: list[tuple]) -> pa.RecordBatch:
             a, b, s = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], schema=_EDGE)
 
         for batch in batches:
-            for cell, i, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cell, i, body, own in zip(*(batch.column(c).to_pylist() for c in ("cell", "id", "body")), _pairs_of(batch.column("own")), strict=True):
                 if cell != at:
                     if rows := out():
                         yield table_of(rows)
                     held, at = {}, cell
-                held[i] = body
+                held[i] = (body, own)
         if rows := out():
             yield table_of(rows)
         held = {}
@@ -345,8 +386,8 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, key, root, class_id) of each row; key is xxhash64 of the text, root names the class, whatever its doc_ids, and is
     null for texts without words."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
+    rows, known = _weighed(docs.select("doc_id", "text", F.xxhash64("text").alias("key")))
+    idf = spark.sparkContext.broadcast(known)
     with arrow_batches(spark, "8m"):
         signed = cut(rows.mapInArrow(_signed(idf), "doc_id long, key long, words binary, size long, bands array<long>"))
     signed = signed.withColumn("id", F.when(F.col("words").isNotNull(), F.xxhash64("words")))  # a vertex is a word sequence
@@ -367,8 +408,8 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         """Links inside cells, from (id, cell)."""
         meets = cells.groupBy("id").agg(F.collect_set("cell").alias("cells"))
         meets = meets.join(reps.select("id", F.col("doc_id").alias("rep"), F.col("key").alias("rep_key")), "id")
-        sent = rows.join(meets, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("key") == F.col("rep_key"))).select("id", "text", "cells")
-        dealt = sent.mapInArrow(_send, "cell long, id long, body binary").repartition(2 * partitions(spark), "cell").sortWithinPartitions("cell")
+        sent = rows.join(meets, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("key") == F.col("rep_key"))).select("id", "text", "cells", "own")
+        dealt = sent.mapInArrow(_send, f"cell long, id long, body binary, own {_OWN}").repartition(2 * partitions(spark), "cell").sortWithinPartitions("cell")
         with arrow_batches(spark, "4m"):
             return cut(dealt.mapInArrow(_verify(idf, threshold), "a long, b long, similarity double"))
 
@@ -378,17 +419,14 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     joined = components(links)
     hot = met.where("blocks > 1")
     if not hot.isEmpty():
-        crowded = hot.groupBy("group", "id").agg(F.min("size").alias("size"), F.min("band").alias("band"))
-        crowded = crowded.join(joined, "id", "left").select("group", "id", F.coalesce("class_id", "id").alias("root"), "size", "band")
+        crowded = hot.groupBy("group", "id").agg(F.min("size").alias("size"))
+        crowded = crowded.join(joined, "id", "left").select("group", "id", F.coalesce("class_id", "id").alias("root"), "size")
         still = cut(_crowds(crowded))
         if not still.isEmpty():
-            second = still.where("stray_blocks > 1").select("group", "id", "root", "size", "band").join(reps.select("id", F.explode("bands").alias("other")), "id").where("other <> band")
-            second = _crowds(second.select(F.xxhash64("group", "other").alias("group"), "id", "root", "size"))
-            left = still.where("stray_blocks = 1").drop("band").unionByName(second)
             own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("stray_blocks"))
             as_member = F.transform(numbers(F.col("stray_blocks")), lambda s: F.xxhash64("group", s, mine))
             as_stray = F.transform(numbers(F.col("blocks")), lambda j: F.xxhash64("group", own, j))
-            links = links.unionByName(compared(left.select("id", F.explode(F.when(F.col("stray"), F.array_union(as_member, as_stray)).otherwise(as_member)).alias("cell"))))
+            links = links.unionByName(compared(still.select("id", F.explode(F.when(F.col("stray"), F.array_union(as_member, as_stray)).otherwise(as_member)).alias("cell"))))
             joined = components(links)
     known = reps.select("id", "doc_id").join(joined, "id", "left").select("id", "doc_id", F.coalesce("class_id", "id").alias("root"))
     known = cut(known)

@@ -55,9 +55,10 @@ def fixture():
     return rows + rows[:3]
 
 
-@pytest.mark.parametrize(("block", "size", "pivots"), [(500, 4 << 20, 16), (4, 4 << 20, 1), (3, 4 << 20, 0), (500, 2000, 2)])
-def test_classes_equal_brute_force(spark, monkeypatch, block, size, pivots):
-    """Also where bands are crowded, by texts or by bytes, and no pivot ties their blocks."""
+@pytest.mark.parametrize(("block", "size", "pivots", "most"), [(500, 4 << 20, 16, 1000), (4, 4 << 20, 1, 0), (3, 4 << 20, 0, 1000), (500, 2000, 2, 0)])
+def test_classes_equal_brute_force(spark, monkeypatch, block, size, pivots, most):
+    """Also where bands are crowded, by texts or by bytes, and no pivot ties their blocks, and where word weights are too many to broadcast."""
+    monkeypatch.setattr(nd, "IDF_MOST", most)
     monkeypatch.setattr(nd, "BLOCK", block)
     monkeypatch.setattr(nd, "CELL_BYTES", size)
     monkeypatch.setattr(nd, "PIVOTS", pivots)
@@ -106,6 +107,40 @@ def test_crowded_band_of_many_small_groups(spark, monkeypatch):
     assert got == brute(rows, 0.8)
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_a_crowd_of_strays_loses_no_link(spark, monkeypatch, threshold):
+    """A band with many more strays than a block: every two of its texts are compared, whatever other band they share."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        own = [f"o{i // 2 if i < 60 else i}x{j}" for j in range(rng.choice([20, 60, 110]))]
+        rows.append((i, " ".join(passage[: rng.choice([110, 150])] + own + [f"c{i}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(nd, "_signed", _signed_here)
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    monkeypatch.setattr(nd, "PIVOTS", 1)
+    got = sorted((r.doc_id, r.class_id) for r in nd.near_duplicates(df, threshold).collect())
+    assert got == brute(rows, threshold)
+
+
+def _signed_here(idf):
+    """``_signed`` whose workers put all texts into one band."""
+    import pyarrow as pa
+
+    signed = _REAL_SIGNED(idf)
+
+    def run(batches):
+        for batch in signed(batches):
+            bands = [x and [7, *x[1:]] for x in batch.column("bands").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("bands"), batch.schema.field("bands"), pa.array(bands, batch.schema.field("bands").type))
+
+    return run
+
+
+_REAL_SIGNED = nd._signed
+
+
 def test_work_of_a_large_group_grows_with_its_members(spark, monkeypatch):
     """Texts sent to cells for one group of near copies: members and a few pivots for each block, not a square."""
     monkeypatch.setattr(nd, "BLOCK", 20)
