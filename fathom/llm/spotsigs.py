@@ -23,6 +23,7 @@ import base64
 import hashlib
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import accumulate
 
 import numpy as np
@@ -195,9 +196,15 @@ def similar_texts(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, likeness), a < b, of texts whose fingerprints differ and are at least so alike, found by partitions of set length.
 
     Fingerprints are grouped first, the least doc_id stands for equal ones.  Signatures of a set are sorted and only
-    the first n - ceil(least * n) + 1 of them are indexed: two sets so alike share one of these.
+    the first n - ceil(least * n) + 1 of them are indexed: two sets so alike share one of these.  The threshold is taken as the decimal
+    fraction that it reads as, and compared in whole numbers, so pairs exactly at it are found.  Rows without doc_id take no part.
     """
-    width = -math.log(least)
+    share = Fraction(str(least))
+    p, q = (F.lit(x).cast("long") for x in (share.numerator, share.denominator))
+    whole = lambda a, b: F.call_function("div", a, b)
+    # lengths of two sets so alike are at most one part apart; the margin covers rounded logarithms
+    at = lambda n: F.log(n) / (-math.log(least) if least < 1 else 1.0)
+    margin = 1e-6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,13 +213,13 @@ def similar_texts(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     sets = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "id long, sigs array<long>").where("size(sigs) > 0")
     sets = sets.groupBy("sigs").agg(F.min("id").alias("id")).withColumn("n", F.size("sigs"))
-    sets = sets.withColumn("part", F.floor(F.log("n") / width)).withColumn("head", F.explode(F.slice("sigs", 1, F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1)))
-    left = sets.select("id", "n", "sigs", "head", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    right = sets.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("sigs").alias("sigs2"), "head", "part")
-    pairs = left.join(right, ["head", "part"]).where("id <> id2 and n <= n2 and (n < n2 or id < id2)").where(F.col("n") >= F.lit(least) * F.col("n2"))
+    sets = sets.withColumn("head", F.explode(F.slice("sigs", 1, (F.col("n") - whole(p * F.col("n") + q - 1, q) + 1).cast("int"))))
+    left = sets.select("id", "n", "sigs", "head", F.explode(F.sequence(F.floor(at("n") - margin), F.floor(at("n") + 1 + margin))).alias("part"))
+    right = sets.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("sigs").alias("sigs2"), "head", F.floor(at("n")).alias("part"))
+    pairs = left.join(right, ["head", "part"]).where("id <> id2 and n <= n2 and (n < n2 or id < id2)").where(q * F.col("n") >= p * F.col("n2"))
     both = F.size(F.array_intersect("sigs", "sigs2"))
-    pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), (both / (F.col("n") + F.col("n2") - both)).alias("likeness"))
-    return pairs.where(F.col("likeness") >= least).distinct()
+    pairs = pairs.withColumn("both", both).withColumn("all", F.col("n") + F.col("n2") - F.col("both")).where(q * F.col("both") >= p * F.col("all"))
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), (F.col("both") / F.col("all")).alias("likeness")).distinct()
 
 
 def op5_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

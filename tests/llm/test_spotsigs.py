@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from fathom.llm import spotsigs as s
 
 
@@ -38,17 +40,20 @@ def test_signatures_by_hand():
     assert s.likeness(one, one) == 1 and s.likeness(one, three) == 0 and s.likeness(one[:0], one[:0]) == 1
 
 
-def test_similar_texts_equal_brute_force(spark):
+@pytest.mark.parametrize(("least", "share"), [(0.8, (4, 5)), (0.55, (11, 20)), (0.7, (7, 10)), (1.0, (1, 1))])
+def test_similar_texts_equal_brute_force(spark, least, share):
     base = [f"the {chr(97 + i % 26)}{i} x{i} of y{i % 9} z{i}" for i in range(60)]
     data = [(k, " ".join(base[k % 3 : 50 + k % 4])) for k in range(12)] + [(50, " ".join(base[::-1])), (51, None)]
+    data += [(60 + k, " ".join(f"the q{i} r{i} s{i}" for i in range(n))) for k, n in enumerate((11, 20, 22, 40, 55, 56, 100))]  # pairs exactly at 0.55
     df = spark.createDataFrame(data, "doc_id long, text string")
     signed = dict(zip([d for d, _ in data], s.signatures([t or "" for _, t in data]), strict=True))
     first = {}
     for d in sorted(signed):
         first.setdefault(signed[d].tobytes(), d)
     ids = sorted(d for d in first.values() if len(signed[d]))
-    want = {(a, b) for a in ids for b in ids if a < b and s.likeness(signed[a], signed[b]) >= 0.8}
-    assert {(r.a, r.b) for r in s.similar_texts(df).collect()} == want and want
+    sets = {i: set(signed[i].tolist()) for i in ids}
+    want = {(a, b) for a in ids for b in ids if a < b and share[1] * len(sets[a] & sets[b]) >= share[0] * len(sets[a] | sets[b])}
+    assert {(r.a, r.b) for r in s.similar_texts(df, least).collect()} == want and (want or least == 1)
 
 
 def test_empty_and_single(spark):
