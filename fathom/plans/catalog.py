@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import names as N
 from fathom.operators import checks, graph, index, links, search, snapshot, stats
+from fathom.operators.order import numbered
 from fathom.sources import ir
 from fathom.streaming import watch
 
@@ -337,6 +338,47 @@ def impact_modes(spark, d):
     return out
 
 
+_LINKS = "(SELECT DISTINCT o_custkey % 997 AS src, (o_orderkey * 31) % 997 AS dst FROM orders WHERE o_orderkey % (SELECT greatest(1, count(*) // 2000) FROM orders) = 0)"
+
+
+def _links(spark, d):
+    """About 2,000 edges over 997 nodes: with cycles, a large strong component and a fringe."""
+    orders = table(spark, d, "orders")
+    every = orders.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 2000)).alias("every"))
+    rows = orders.crossJoin(every).where(F.col("o_orderkey") % F.col("every") == 0)  # one row on the right
+    edges = rows.select((F.col("o_custkey") % 997).alias("src"), (F.col("o_orderkey") * 31 % 997).alias("dst")).distinct()
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), edges
+
+
+_FAR = f"WITH RECURSIVE e AS {_LINKS}, v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), r AS (SELECT src AS origin, dst AS node FROM e UNION SELECT origin, dst FROM r JOIN e ON src = node)"
+
+
+@query(f"{_FAR} SELECT node, 1 + coalesce(n, 0) AS size FROM v LEFT JOIN (SELECT origin AS node, count(*) AS n FROM r WHERE origin <> node GROUP BY 1) USING (node)")
+def reachable_sizes(spark, d):
+    """How many nodes each reaches, by bitmaps: no row for a pair."""
+    return graph.closure_sizes(*_links(spark, d))
+
+
+@query(f"""{_FAR}, i AS (SELECT dst AS node, count(*) AS n FROM e GROUP BY 1), o AS (SELECT src AS node, count(*) AS n FROM e GROUP BY 1), t AS (SELECT node, count(*) AS n FROM r WHERE origin <> node GROUP BY 1),
+f AS (SELECT dst AS node, count(*) AS n FROM e WHERE src <> dst GROUP BY 1), c AS (SELECT o_custkey % 997 AS node, count(*) AS n FROM orders GROUP BY 1)
+SELECT node, coalesce(c.n, 0) AS declarations, coalesce(o.n, 0) AS imports, coalesce(i.n, 0) AS imported_by, coalesce(t.n, 0) AS importers, coalesce(f.n, 0) AS referrers
+FROM v LEFT JOIN c USING (node) LEFT JOIN i USING (node) LEFT JOIN o USING (node) LEFT JOIN t USING (node) LEFT JOIN f USING (node)""")
+def reachable_census(spark, d):
+    nodes, edges = _links(spark, d)
+    counts = table(spark, d, "orders").groupBy((F.col("o_custkey") % 997).alias("node")).agg(F.count("*").alias("declarations"))
+    return graph.census(nodes, edges, edges, counts)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, sum(CAST(o_orderkey % 1009 = 0 AS INT)) OVER (ORDER BY o_orderkey) AS run FROM orders),
+s AS (SELECT run, min(k) AS first FROM o WHERE k % 5 = 3 GROUP BY 1) SELECT k AS node FROM o JOIN s USING (run) WHERE k > first""")
+def closure_deep(spark, d):
+    """Chains of about a thousand orders each, by their keys: from each order to the next, but for every 1,009th key."""
+    rows = numbered(table(spark, d, "orders").select(F.col("o_orderkey").alias("node")), [F.col("node")])
+    after = rows.select(F.col("node").alias("dst"), (F.col("id") - 1).alias("id")).where("dst % 1009 <> 0")
+    edges = rows.join(after, "id").select(F.col("node").alias("src"), "dst")
+    return graph.closure(rows.where("node % 5 = 3").select("node"), edges)
+
+
 _SCORE = """CASE WHEN starts_with(regexp_extract(lower(n), '[^ ]*$'), 'bo') THEN 3000 - length(regexp_extract(lower(n), '[^ ]*$')) WHEN starts_with(lower(n), 'bo') THEN 2000 - length(n)
 WHEN instr(lower(n), 'bo') > 1 THEN 1000 - (instr(lower(n), 'bo') - 1) ELSE 0 END"""
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,36 @@ def test_closures_of_cycle_and_chain(spark):
     assert ones(graph.missing(edges, seed("a"))) == ["b", "c", "y", "z"]
 
 
+def test_a_deep_chain_takes_few_rounds(spark):
+    """Ten thousand nodes in a row, which end in a cycle, and a branch half way."""
+    told = {}
+    edges = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    edges = edges.unionAll(spark.createDataFrame([(10_000, 9_000), (5_000, 20_000), (20_000, 20_001)], "src long, dst long"))
+    got = graph.closure(spark.createDataFrame([(100,)], "node long"), edges, told=told)
+    assert sorted(r.node for r in got.collect()) == [*range(101, 10_001), 20_000, 20_001]
+    assert told["rounds"] <= 40
+    told = {}
+    chain = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.closure(spark.createDataFrame([(0,)], "node long"), chain, told=told).count() == 10_000 and told["rounds"] <= 21
+
+
+def test_reach_of_random_graphs(spark):
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(70)] + [("n1", "out")]
+        df = spark.createDataFrame(edges, "src string, dst string")
+        nodes = sorted({n for e in edges for n in e if n != "out"} | {"alone"})
+        sizes = {r.node: r.n for r in graph.reached(spark.createDataFrame([(n,) for n in nodes], "node string"), df).collect()}
+        for n in nodes:
+            seen, front = {n}, [n]
+            while front:
+                front = [b for a, b in edges if a in front and b not in seen]
+                seen |= set(front)
+            assert sizes[n] == len(seen)
+        assert set(sizes) == set(nodes)
+    assert graph.reached(df.select(F.col("src").alias("node")).limit(0), df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("state", ["no-op", "edit", "add", "delete", "move", "reorder"])
 def test_incremental_equals_full(spark, state):
     before = [(m, n) for m, n in DECLS]
