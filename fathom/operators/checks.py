@@ -25,6 +25,55 @@ def dead_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).where("reason is not null").select("page", "target", "fragment", "reason")
 
 
+def site_closure(pages: DataFrame, parts: DataFrame, modules: DataFrame, index: DataFrame, labels: int, names: DataFrame, instances: DataFrame, instances_for: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Does a site close over itself?  (check, item) of all that breaks a rule, and (check, n): how much each check compared.
+
+    ``pages``: (page); ``parts``: (page, kind, value) as ``ir.page_parts`` has them; ``modules``: (id, module, page); ``index``: (name, module_id, kind_id);
+    ``names``: (name, module), dependencies too; ``instances`` and ``instances_for``: (key, name).  The checks:
+      modules have pages            every module names a page that is there
+      modules resolve, kinds resolve  a declaration's numbers are those of a module and of one of ``labels`` kinds
+      index on pages                every declaration is an anchor on its module's page
+      pages in index                every declaration anchor of a module's page is in the index
+      index equals names            index and name map say the same of the package's own names
+      instances, instances for      the names of both tables are declarations
+      resources                     no page loads anything from another host
+    """
+    page, module = F.col("page"), F.col("module")
+    own = index.join(modules.withColumnRenamed("id", "module_id"), "module_id", "left")
+    anchors = parts.where("kind = 'anchor'").select("page", F.col("value").alias("name")).distinct()
+    decls = parts.where("kind = 'decl'").join(modules.select("page").distinct(), "page", "left_semi").select("page", F.col("value").alias("name")).distinct()
+    known = index.select("name").distinct()
+    indexed, mapped = own.where("module is not null").select("name", "module"), names.join(modules.select("module"), "module", "left_semi").select("name", "module")
+    side = lambda df, s: df.select("name", F.concat_ws(" ", "name", F.lit(s), "module").alias("item"), "module")
+    apart = side(indexed, "in index of").join(mapped, ["name", "module"], "left_anti").unionByName(side(mapped, "in map of").join(indexed, ["name", "module"], "left_anti"))
+    kind = F.col("kind_id").isNull() | (F.col("kind_id") < 0) | (F.col("kind_id") >= labels)
+    away = parts.where("kind = 'resource'").where(F.col("value").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"))
+    pairs = lambda df: df.join(known, "name", "left_anti").select(F.concat_ws(" ", "key", "name").alias("item"))
+    found = {
+        "modules have pages": (modules.join(pages.select("page"), "page", "left_anti").select(F.coalesce(page, module).alias("item")), modules),
+        "modules resolve": (own.where("module is null").select(F.col("name").alias("item")), index),
+        "kinds resolve": (index.where(kind).select(F.col("name").alias("item")), index),
+        "index on pages": (own.where("module is not null").join(anchors, ["page", "name"], "left_anti").select(F.concat_ws(" ", "name", "page").alias("item")), index),
+        "pages in index": (decls.join(known, "name", "left_anti").select(F.concat_ws(" ", "name", "page").alias("item")), decls),
+        "index equals names": (apart.select("item"), mapped),
+        "instances": (pairs(instances), instances),
+        "instances for": (pairs(instances_for), instances_for),
+        "resources": (away.select(F.concat_ws(" ", "page", "value").alias("item")), pages),
+    }
+    broken = compared = None
+    for check, (rows, seen) in found.items():
+        rows, n = rows.select(F.lit(check).alias("check"), "item"), seen.agg(F.lit(check).alias("check"), F.count("*").alias("n"))
+        broken, compared = (rows, n) if broken is None else (broken.unionByName(rows), compared.unionByName(n))
+    return broken, compared
+
+
+def closed(broken: DataFrame, compared: DataFrame) -> None:
+    """Raise if a rule of ``site_closure`` is broken, or if one of its checks compared nothing."""
+    if idle := [r["check"] for r in compared.where("n = 0").collect()]:  # a row for each check
+        raise AssertionError(f"nothing was compared: {', '.join(idle)}")
+    gate(broken, compared)
+
+
 def gate(broken: DataFrame, compared: DataFrame) -> None:
     """Raise if a rule is broken, or if nothing was compared: an empty comparison proves nothing."""
     if compared.isEmpty():

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.names import utf16_key
-from fathom.operators.order import numbered
+from fathom.operators.order import cut, numbered
 
 
 def sorted_set(values: Column) -> Column:
@@ -72,10 +76,53 @@ def suppressed(declarations: DataFrame, members: DataFrame, name: str) -> DataFr
 
 
 def contained(intervals: DataFrame, group: str, name: str, start: str, stop: str) -> DataFrame:
-    """(group, outer, inner): other intervals of the group that lie inside an interval; one equality, one range."""
-    outer = intervals.select(group, F.col(name).alias("outer"), F.col(start).alias("_a"), F.col(stop).alias("_b"))
-    inner = intervals.select(group, F.col(name).alias("inner"), F.col(start).alias("_c"), F.col(stop).alias("_d"))
-    return outer.join(inner, group).where("_a <= _c and _d <= _b and outer <> inner").select(group, "outer", "inner")
+    """(group, outer, inner): other intervals of the group that lie inside an interval, ends included; equal ones lie inside each other.
+
+    A sweep: intervals are dealt into ranges by group and start, and each range is read in order of start, the longer first.  The open ones
+    are kept in order of their stops, so those that hold the next are found by bisection, and those that ended before it are dropped.  An
+    interval that reaches into later ranges of its group is sent there too.  Work is that of sorting and of the pairs found, however many
+    intervals a group has.  Rows with a null group, start or stop lie in none.
+    """
+    spark = intervals.sparkSession
+    rows = intervals.select(F.col(group).alias("g"), F.col(name).alias("name"), F.col(start).alias("a"), F.col(stop).alias("b")).where("g is not null and a is not null and b is not null")
+    order = [F.col("g"), F.col("a"), F.desc("b")]
+    rows = cut(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    heads = rows.groupBy("range").agg(F.min(F.struct("g", "a")).alias("h")).select(F.col("range").alias("later"), F.col("h.g").alias("hg"), F.col("h.a").alias("ha"))
+    reaching = rows.join(F.broadcast(heads), (F.col("g") == F.col("hg")) & (F.col("later") > F.col("range")) & (F.col("ha") <= F.col("b")))  # heads: a row for each range
+    dealt = rows.withColumn("own", F.lit(True)).unionByName(reaching.select("g", "name", "a", "b", F.col("later").alias("range"), F.lit(False).alias("own")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("range", "own", "g", "a", "b", "name").repartition(parts, "range").sortWithinPartitions("range", "own", *order)
+    kind = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    return dealt.mapInArrow(_sweep, f"`{group}` {kind['g']}, outer {kind['name']}, inner {kind['name']}")
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (range, own, g, a, b, name); those that reach into a range, all of its first group, come first and are only held."""
+    at = None
+    stops: list = []  # of the open intervals, ascending; beside them their starts and names
+    opened: list[tuple] = []
+    flat = lambda x: tuple(x.values()) if isinstance(x, dict) else x
+    for batch in batches:
+        found: list[tuple] = []
+        for range_, own, g, a, b, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (range_, g) != at:
+                at, stops, opened = (range_, g), [], []
+            a, b = flat(a), flat(b)
+            while stops and stops[0] < a:
+                del stops[0], opened[0]
+            if own:
+                for i in range(bisect_left(stops, b), len(stops)):
+                    start, other = opened[i]
+                    if other != name:
+                        found.append((g, other, name))
+                        if start == a and stops[i] == b:
+                            found.append((g, name, other))
+            i = bisect_right(stops, b)
+            stops.insert(i, b)
+            opened.insert(i, (a, name))
+        columns = zip(*found, strict=True) if found else ((), (), ())
+        kinds = [batch.schema.field("g").type, *[batch.schema.field("name").type] * 2]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["g", "outer", "inner"])
 
 
 def limited_equations(equations: Column, limit: int = 200) -> Column:

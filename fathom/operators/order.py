@@ -34,8 +34,11 @@ def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one, as a path that both Spark and plain files know."""
-    return re.sub(r"^file:/+", "/", f"{_shared(spark)}/files-{uuid.uuid4().hex}")
+    """A new folder below the shared one, as a path that both Spark and plain files know; a shared folder in another file system is refused."""
+    path = re.sub(r"^file:/+", "/", f"{_shared(spark)}/files-{uuid.uuid4().hex}")
+    if not path.startswith("/"):
+        raise ValueError(f"plain files can't be written to {path}: only to a plain path or file:")
+    return path
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "id") -> DataFrame:

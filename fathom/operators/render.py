@@ -6,17 +6,20 @@ Docstrings are the dialect of code hosts (tables, strike-through, bare URLs) wit
 
 from __future__ import annotations
 
+import contextlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html import escape as _escape
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.sources.sinks import write_files
+from fathom.operators.order import cut
+from fathom.sources.sinks import local, write_files
 
 SPAN = "array<struct<start:int,stop:int,kind:int,name:string,front:int,back:int>>"
 
@@ -423,21 +426,31 @@ def pages(items: DataFrame, title: Callable[[Column], Column] = lambda m: m) ->
 
 def write_pages(rows: DataFrame, root: str) -> int:
     """A file for each page (path, html) below ``root``, a shared folder; each task writes its own, and a path that leaves it is refused."""
-    return write_files(rows.select("path", F.col("html").alias("body")), root)
-
-
-def prune_pages(root: str, paths: list[str]) -> int:
-    """Delete pages below ``root`` and folders left empty; the list comes from ``snapshot.orphans``."""
-    base, n = Path(root).resolve(), 0
-    for p in paths:
-        target = (base / p).resolve()
-        if base not in target.parents:
-            raise ValueError(f"{p} is outside {root}")
-        if target.is_file():
-            target.unlink()
-            n += 1
-            folder = target.parent
-            while folder != base and not any(folder.iterdir()):
-                folder.rmdir()
-                folder = folder.parent
-    return n
+    return write_files(rows.select("path", F.col("html").alias("body")), root).count()
+
+
+def prune_pages(root: str, paths: DataFrame) -> int:
+    """Delete pages (path) below ``root`` and folders left empty; the list comes from ``snapshot.orphans``, and tasks delete their own rows.
+
+    A path that leaves the folder is refused; one that is gone already isn't counted.
+    """
+    root = str(local(root))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, n = Path(root).resolve(), 0
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                target = (base / p).resolve()
+                if base not in target.parents:
+                    raise ValueError(f"{p} is outside {root}")
+                if target.is_file():
+                    target.unlink()
+                    n += 1
+                with contextlib.suppress(OSError):  # a folder that still holds something stays
+                    for folder in target.parents:
+                        if folder == base:
+                            break
+                        folder.rmdir()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return cut(paths.select("path").mapInArrow(run, "n long")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.operators import incremental, snapshot
+from fathom.operators import checks, incremental, snapshot
 from fathom.operators.order import cut, scratch
 from fathom.plans.catalog import query, table
+from fathom.sources import ir, sinks
 from fathom.sources.versions import Store
 
 #: States of the world in the order of the builds, and the world of each: as it is, with moved names, without some modules, with a new one.
@@ -74,3 +75,29 @@ def incremental_states(spark, d):
         pages = store.table("pages", incremental.PAGES, store.manifest()).select(F.lit(state).alias("state"), "module", "page")
         out = pages if out is None else out.unionByName(pages)
     return out
+
+
+@query("""WITH m AS (SELECT DISTINCT p_size AS id FROM part), c AS (SELECT p_partkey AS k, p_size AS s FROM part)
+SELECT 'modules have pages' AS "check", 'm' || id || '.html' AS item FROM m WHERE id % 17 = 5
+UNION ALL SELECT 'modules resolve', 'D' || k FROM c WHERE k % 101 = 3 AND k % 83 <> 6 UNION ALL SELECT 'kinds resolve', 'D' || k FROM c WHERE k % 97 = 4 AND k % 83 <> 6
+UNION ALL SELECT 'index on pages', 'D' || k || ' m' || s || '.html' FROM c WHERE k % 101 <> 3 AND k % 83 <> 6 AND (k % 89 = 5 OR s % 17 = 5)
+UNION ALL SELECT 'pages in index', 'D' || k || ' m' || s || '.html' FROM c WHERE k % 83 = 6 AND k % 89 <> 5 AND s % 17 <> 5
+UNION ALL SELECT 'index equals names', 'D' || k || ' in index of M' || s FROM c WHERE k % 101 <> 3 AND k % 83 <> 6 AND k % 79 = 7
+UNION ALL SELECT 'index equals names', 'D' || k || ' in map of M' || s FROM c WHERE k % 79 <> 7 AND (k % 101 = 3 OR k % 83 = 6)
+UNION ALL SELECT 'instances', 'C' || k % 7 || ' D' || k FROM c WHERE k % 83 = 6 AND k % 2 = 0 UNION ALL SELECT 'instances for', 'T' || k % 5 || ' D' || k FROM c WHERE k % 83 = 6 AND k % 2 = 1
+UNION ALL SELECT 'resources', 'm' || id || '.html https://cdn.example/x' || id || '.js' FROM m WHERE id % 13 = 2 AND id % 17 <> 5""")
+def site_closure(spark, d):
+    """A written site with planted breaks of each rule: pages by part size, declarations by part."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    name = F.concat(F.lit("D"), "k")
+    section = F.when(F.col("k") % 89 != 5, F.concat(F.when(F.col("k") % 3 == 0, F.lit("<section class='decl' id=")).otherwise(F.lit('<section\n class="x decl" id="')), name, F.when(F.col("k") % 3 == 0, F.lit(">")).otherwise(F.lit('">')), F.lit("</section>")))
+    body = part.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list(section)), "").alias("body"))
+    script = F.when(F.col("s") % 13 == 2, F.concat(F.lit("<script src='https://cdn.example/x"), "s", F.lit(".js'>'<section class=decl id=no>'</script>"))).otherwise(F.lit("<script src=own.js></script><!-- <img src='//no'> -->"))
+    site = scratch(spark)
+    sinks.write_files(body.where("s % 17 <> 5").select(F.concat(F.lit("m"), "s", F.lit(".html")).alias("path"), F.concat(F.lit("<html>"), script, "body", F.lit("</html>")).alias("body")), site)
+    html = ir.html_files(spark, site)
+    modules = body.select(F.col("s").cast("long").alias("id"), F.concat(F.lit("M"), "s").alias("module"), F.concat(F.lit("m"), "s", F.lit(".html")).alias("page"))
+    index = part.where("k % 83 <> 6").select(name.alias("name"), F.when(F.col("k") % 101 == 3, -1).otherwise(F.col("s")).cast("long").alias("module_id"), F.when(F.col("k") % 97 == 4, 9).otherwise(F.col("k") % 9).alias("kind_id"))
+    names = part.where("k % 79 <> 7").select(name.alias("name"), F.concat(F.lit("M"), "s").alias("module")).unionAll(part.where("k % 79 = 7").select(name, F.lit("Dependency")))
+    pairs = lambda odd, letter, n: part.where(f"k % 2 = {odd}").select(F.concat(F.lit(letter), F.col("k") % n).alias("key"), name.alias("name"))
+    return checks.site_closure(html, ir.page_parts(html), modules, index, 9, names, pairs(0, "C", 7), pairs(1, "T", 5))[0]

@@ -191,7 +191,7 @@ def written_pages(spark, d):
     rows = table(spark, d, "nation").select(F.concat(F.lit("p"), "n_nationkey", F.lit("/N.html")).alias("path"), F.concat(F.lit("<p>"), "n_name", F.lit("</p>")).alias("html"), "n_nationkey")
     render.write_pages(rows, root)
     gone = snapshot.orphans(rows, rows.where("n_nationkey % 3 <> 0"), "path")
-    render.prune_pages(root, [r.path for r in gone.toLocalIterator()])
+    render.prune_pages(root, gone)
     out = [("kept", str(p.relative_to(root))) for p in sorted(Path(root).rglob("*.html"))]
     with serve.serving(root) as base:
         ir.download(f"{base}/p1/N.html", f"{root}/copy/x")

@@ -422,11 +422,22 @@ SELECT n AS name, score, row_number() OVER (ORDER BY score DESC, length(n), n) A
 def narrowed_search(spark, d):
     """A longer query searches only what a shorter one found, and finds the same."""
     names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    hits = search.search(names, "bo", 1 << 30, ident="name", separator=" ")
-    out = search.narrowed(hits, "bol", 30, ident="name", separator=" ")
+    out = search.narrowed(search.hits(names, "bo", separator=" "), "bol", 30, ident="name", separator=" ")
     return out.select("name", F.col("score").cast("int").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("""WITH n AS (SELECT DISTINCT p_name AS n FROM part), q AS (SELECT p_partkey AS query_id, lower(trim(substr(p_name, CAST(p_partkey % 5 + 1 AS INT), CAST(2 + p_partkey % 6 AS INT)))) AS q FROM part),
+h AS (SELECT query_id, n, CASE WHEN starts_with(regexp_extract(lower(n), '[^ ]*$'), q) THEN 3000 - length(regexp_extract(lower(n), '[^ ]*$')) WHEN starts_with(lower(n), q) THEN 2000 - length(n) WHEN instr(lower(n), q) > 1 THEN 1000 - (instr(lower(n), q) - 1) ELSE 0 END AS score FROM q JOIN n ON length(q) >= 2 AND contains(lower(n), q)),
+r AS (SELECT query_id, n, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(n), n) AS rank FROM h WHERE score > 0)
+SELECT query_id, CAST(rank AS INT) AS rank, CAST(score AS INT) AS score, n AS name FROM r WHERE rank <= 10""")
+def many_searches(spark, d):
+    """A query from each part's name against all names, at once."""
+    part = table(spark, d, "part")
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.substring("p_name", F.col("p_partkey") % 5 + 1, 2 + F.col("p_partkey") % 6).alias("query"))
+    names = part.select(F.col("p_name").alias("name")).distinct().withColumn("id", F.col("name"))
+    return search.search_all(names, asked, 10, separator=" ").select("query_id", "rank", F.col("score").cast("int").alias("score"), "name")
+
+
 @query(r"""SELECT page_id, CASE WHEN f <> '' THEN f ELSE replace(regexp_replace(regexp_replace(p, '#.*$', ''), '(^/+)|(\.html$)', '', 'g'), '/', '.') END AS suggestion FROM (SELECT page_id, p, regexp_extract(p, '#(.*)$', 1) AS f
 FROM (SELECT page_id, regexp_replace(url, '^[a-z]+:/', '') || CASE WHEN page_id % 3 = 0 THEN '.html' ELSE '' END AS p FROM pages))""".replace("\\\\", "\\"))
 def page_suggestions(spark, d):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions.names import utf16_key
+from fathom.operators.order import cut
 
 #: The wire format.  Spans and references are arrays of mixed scalars and load as arrays of strings.
 OLDEST = 5
@@ -124,12 +125,13 @@ def dependency_maps(spark: SparkSession, root: str) -> DataFrame:
 def link_map(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
     """(name, module, line_from, line_to) and (module) of link maps.
 
-    Lines are `#` comments, `@` modules, headers (a module), or entries under the last header, which begin with a tab.  Lines are numbered by
-    where they are in their file; those of a file are cut into blocks of BLOCK lines, an entry takes the last header of its block or else
-    the last one of the blocks before, so no task walks a whole map.  Of repeated names the last wins.
+    Lines are `#` comments, `@` modules, headers (a module), or entries under the last header, which begin with a tab.  A file of any size is read
+    by many tasks, a split each; a line's place is where its split begins and its number there.  The lines of a split are cut into blocks of BLOCK lines; an
+    entry takes the last header of its block or else the last one of the blocks and splits before, so no task walks a whole map.  Of repeated names the last wins.
     """
-    text = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
-    text = text.where(~F.col("line").startswith("#") & (F.trim("line") != "")).withColumn("block", F.floor(F.col("i") / BLOCK))
+    text = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("line"))
+    text = cut(text.where(~F.col("line").startswith("#") & (F.trim("line") != "")))  # written, so the numbers stay
+    text = text.withColumns({"i": F.struct("start", "nth"), "block": F.struct("start", F.floor(F.col("nth") / BLOCK).alias("part"))})
     entry, listed = F.col("line").startswith("\t"), F.col("line").startswith("@")
     module = text.where(~entry).select(F.when(listed, F.substring("line", 2, 1 << 20)).otherwise(F.col("line")).alias("module")).distinct()
     head = F.when(~entry & ~listed, F.col("line"))
@@ -197,6 +199,42 @@ def pages(html: DataFrame, page: str, text: str) -> DataFrame:
     return html.select(page, found(r'\sid="([^"]*)"').alias("ids"), found(r'<a\s[^>]*?href="([^"]*)"').alias("hrefs"), found(r'<(?:script|img|link)\s[^>]*?(?:src|href)="([^"]*)"').alias("resources"))
 
 
+#: A start tag with its attributes in any quotes, and one attribute.
+_TAG = r"<([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+_ATTRIBUTE = r"([^\s\"'<>/=]++)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"
+
+
+def unescaped(text: Column) -> Column:
+    """Text with the five escapes that pages are written with undone."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def html_files(spark: SparkSession, root: str) -> DataFrame:
+    """(page, html) of the pages below a folder, by their paths in it."""
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html")
+    base = root.rstrip("/").removeprefix("file:")
+    return files.select(F.url_decode(F.substring_index(F.col("_metadata.file_path"), f"{base}/", -1)).alias("page"), F.col("value").alias("html"))
+
+
+def page_parts(html: DataFrame) -> DataFrame:
+    """(page, kind, value) of pages (page, html): `anchor` of every id, `decl` of those of sections of class decl, `href` of links, `resource` of
+    what scripts, images and sheets load.  Comments and what scripts and styles hold are no tags; attributes have any quotes or none."""
+    plain = F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", "")
+    plain = F.regexp_replace(plain, r"(?is)(<(script|style)\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>).*?(?:</\2\s*>|\z)", "$1")
+    tags = html.select("page", F.explode(F.regexp_extract_all(plain, F.lit(_TAG), 0)).alias("tag"))
+    tags = tags.select("page", F.lower(F.regexp_extract("tag", _TAG, 1)).alias("name"), F.regexp_extract("tag", _TAG, 2).alias("rest"))
+    pairs = F.transform(F.regexp_extract_all("rest", F.lit(_ATTRIBUTE), 0), lambda a: F.struct(F.lower(F.regexp_extract(a, _ATTRIBUTE, 1)).alias("k"), unescaped(F.regexp_replace(F.regexp_extract(a, _ATTRIBUTE, 2), "^[\"']|[\"']$", "")).alias("v")))
+    tags = tags.withColumn("a", pairs)
+    of = lambda key: F.get(F.filter("a", lambda x: x["k"] == key), F.lit(0))["v"]  # noqa: E731  the first of a name counts
+    decl = (F.col("name") == "section") & F.array_contains(F.split(F.coalesce(of("class"), F.lit("")), r"\s+"), "decl")
+    loads = F.when(F.col("name").isin("script", "img"), of("src")).when(F.col("name") == "link", of("href"))
+    part = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    parts = F.array(part("anchor", of("id")), part("decl", F.when(decl, of("id"))), part("href", F.when(F.col("name") == "a", of("href"))), part("resource", loads))
+    return tags.select("page", F.explode(F.filter(parts, lambda p: p["value"].isNotNull())).alias("p")).select("page", "p.kind", "p.value")
+
+
 def imports(texts: DataFrame, module: str, text: str) -> DataFrame:
     """(module, import): import lines before the first line that is none, block comments skipped."""
     plain = F.regexp_replace(F.col(text), r"(?s)/-.*?-/", "")

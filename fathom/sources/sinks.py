@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,12 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.names import folds_apart, utf16_key
+from fathom.operators.order import cut
 from fathom.operators.search import MOST_SHARED, RESTART
 
 
+def local(path: str | Path) -> Path:
+    """A folder or file that all machines share under this path; a URI of another file system than the local one is refused."""
+    text = str(path)
+    if match := re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", text):
+        if match[1].lower() != "file":
+            raise ValueError(f"plain files can't be written to {text}: only a plain path or file:")
+        text = re.sub(r"^file:/+", "/", text, flags=re.I)
+    return Path(text)
+
+
 def _put(path: str | Path, parts: Iterable[bytes]) -> int:
     """Write a file so that a reader sees the old one or the new one; returns its bytes."""
-    target = Path(path)
+    target = local(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     part = target.with_name(f"{target.name}.{uuid.uuid4().hex}.part")
     n = 0
@@ -31,28 +44,34 @@ def _put(path: str | Path, parts: Iterable[bytes]) -> int:
 
 
 def _below(root: str, path: str) -> Path:
-    base = Path(root).resolve()
+    base = local(root).resolve()
     target = (base / path).resolve()
     if base not in target.parents:
         raise ValueError(f"{path} is outside {root}")
     return target
 
 
-def write_files(files: DataFrame, root: str) -> int:
+def write_files(files: DataFrame, root: str) -> DataFrame:
     """A file for each row (path, body) below ``root``, a folder that driver and executors share; each task writes its own rows.
 
-    A path that leaves the folder is refused.  A task that runs again writes the same files again.  Returns their number.
+    A path that leaves the folder is refused.  A task that runs again writes the same files again.  Returns the other columns of ``files`` with path, and bytes
+    and sha256 of what was written; it is a written table, so ``files`` runs once.
     """
+    root = str(local(root))
+    rest = [c for c in files.columns if c not in ("path", "body")]
+    kinds = {f.name: f.dataType.simpleString() for f in files.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
         for batch in batches:
-            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _put(_below(root, path), [body])
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+            bodies, sizes, hashes = batch.column("body").to_pylist(), [], []
+            for path, body in zip(batch.column("path").to_pylist(), bodies, strict=True):
+                sizes.append(_put(_below(root, path), [body]))
+                hashes.append(hashlib.sha256(body).hexdigest())
+            kept = [batch.column(c) for c in [*rest, "path"]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(hashes, pa.string())], names=[*rest, "path", "bytes", "sha256"])
 
-    return files.select("path", F.col("body").cast("binary").alias("body")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = files.select(*rest, "path", F.col("body").cast("binary").alias("body"))
+    return cut(rows.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in [*rest, "path"]] + ["bytes long", "sha256 string"])))
 
 
 def write_table(df: DataFrame, path: str, keys: list[str]) -> None:
@@ -186,7 +205,7 @@ def write_link_map(entries: DataFrame, modules: DataFrame, path: str, omit: Data
 
 
 def write_lines_in_order(df: DataFrame, column: str, key: str, path: str) -> None:
-    target = Path(path)
+    target = local(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     with target.open("w", encoding="utf-8") as out:
         for r in df.orderBy(utf16_key(F.col(key))).select(column).toLocalIterator():
@@ -196,22 +215,19 @@ def write_lines_in_order(df: DataFrame, column: str, key: str, path: str) -> Non
 def write_tree(modules: DataFrame, root: str, dependencies: DataFrame | None = None, schema: int = 5, facts: dict | None = None) -> int:
     """A module tree: module files, dependency maps, and an index with counts, bytes and sha256 of what was written.
 
-    ``modules``: (module, body), body a JSON text; ``dependencies``: (package, name, module).  Tasks write the files of their rows; the
+    ``modules``: (module, body), body a JSON text; ``dependencies``: (package, name, module).  Tasks write the files of their rows and report their sizes and hashes; the
     index, one entry a module, streams through the driver and is written last, so a tree that has one is whole.
     """
-    hashed = lambda path: (path.alias("file"), F.octet_length("body").cast("long").alias("bytes"))
     n = F.coalesce(F.json_array_length(F.get_json_object("body", "$.declarations")), F.lit(0)).cast("long")
-    rows = modules.withColumn("path", F.concat(F.lit("modules/"), "module", F.lit(".json")))
-    written = write_files(rows, root)
-    listed = rows.select("module", *hashed(F.col("path")), n.alias("declarations"), F.sha2("body", 256).alias("contentHash"))
+    rows = modules.select("module", "body", n.alias("declarations"), F.concat(F.lit("modules/"), "module", F.lit(".json")).alias("path"))
+    listed = write_files(rows, root).select("module", F.col("path").alias("file"), "bytes", "declarations", F.col("sha256").alias("contentHash"))
     none = modules.sparkSession.createDataFrame([], "package string, name string, module string")
     maps = (none if dependencies is None else dependencies).groupBy("package").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("name", "module")))).alias("declarations"))
     maps = maps.select("package", F.size("declarations").cast("long").alias("entries"), F.to_json(F.struct(F.lit(schema).alias("schemaVersion"), "package", "declarations")).alias("body"))
-    maps = maps.withColumn("path", F.concat(F.lit("deps/"), "package", F.lit(".json")))
-    write_files(maps, root)
-    total = listed.agg(F.coalesce(F.sum("declarations"), F.lit(0))).first()[0]
+    maps = write_files(maps.withColumn("path", F.concat(F.lit("deps/"), "package", F.lit(".json"))), root)
+    written, total = listed.agg(F.count("*"), F.coalesce(F.sum("declarations"), F.lit(0))).first()
     head = json.dumps({"schemaVersion": schema, **(facts or {}), "hashAlgorithm": "sha256", "moduleCount": written, "declarationCount": total}, ensure_ascii=False)[:-1]
-    parts = ([f'{head}, "modules": '.encode()], _array(listed, ["module"]), [b', "dependencyMaps": '], _array(maps.select("package", *hashed(F.col("path")), "entries"), ["package"]), [b"}\n"])
+    parts = ([f'{head}, "modules": '.encode()], _array(listed, ["module"]), [b', "dependencyMaps": '], _array(maps.select("package", F.col("path").alias("file"), "bytes", "entries"), ["package"]), [b"}\n"])
     _put(f"{root}/index.json", (x for part in parts for x in part))
     return written
 

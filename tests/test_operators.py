@@ -219,3 +219,56 @@ def test_stats_and_gates(spark):
     pages = spark.createDataFrame([("p", ["x"])], "target string, anchors array<string>")
     hrefs = spark.createDataFrame([("q", "p", "x"), ("q", "p", "y"), ("q", "z", None)], "page string, target string, fragment string")
     assert sorted(r.reason for r in checks.dead_links(hrefs, pages).collect()) == ["no anchor", "no page"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contained_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(400):
+        a = rng.randrange(60)
+        rows.append((rng.choice(["hot"] * 4 + ["b", "c", None]), f"n{i // 2}", rng.choice([a, a, None]), a + rng.choice([0, 1, 5, 40, 200])))
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "m string, name string, a int, b int").repartition(5)
+    want = sorted((g, x, y) for g, x, a, b in rows if g and a is not None for h, y, c, d in rows if h == g and c is not None and x != y and a <= c and d <= b)
+    assert sorted(tuple(r) for r in index.contained(df, "m", "name", "a", "b").collect()) == want
+    assert index.contained(df.limit(0), "m", "name", "a", "b").count() == 0
+
+
+def test_contained_in_one_module_of_very_many(spark):
+    """200,000 disjoint declarations of one module, one that holds them all and one that reaches over the middle."""
+    rows = spark.range(200_000).select(F.lit("M").alias("m"), F.col("id").alias("name"), (F.col("id") * 10).alias("a"), (F.col("id") * 10 + 5).alias("b"))
+    rows = rows.unionAll(spark.createDataFrame([("M", -1, -5, 3_000_000), ("M", -2, 1_000_001, 1_000_097)], "m string, name long, a long, b long"))
+    found = index.contained(rows, "m", "name", "a", "b").groupBy("outer").agg(F.count("*"), F.min("inner"), F.max("inner")).collect()
+    assert sorted(tuple(r) for r in found) == [(-2, 9, 100_001, 100_009), (-1, 200_001, -2, 199_999)]
+
+
+def test_contained_by_line_and_column(spark):
+    rows = [("M", "a", (1, 5), (9, 0)), ("M", "b", (1, 6), (1, 9)), ("M", "c", (9, 0), (9, 0)), ("M", "d", (9, 0), (9, 1))]
+    df = spark.createDataFrame(rows, "m string, name string, a struct<l:int,c:int>, b struct<l:int,c:int>")
+    assert sorted(tuple(r) for r in index.contained(df, "m", "name", "a", "b").collect()) == [("M", "a", "b"), ("M", "a", "c"), ("M", "d", "c")]
+
+
+def test_many_searches_equal_single_ones(spark):
+    rng = random.Random(4)
+    names = [(i, ".".join("".join(rng.choice("abcÄß") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 4)))) for i in range(300)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(names, "id long, name string")
+    asked = [(i, "".join(rng.choice("abcä.") for _ in range(rng.randrange(0, 5)))) for i in range(40)] + [(50, "  AB "), (51, None), (52, "ab"), (53, "zzzz")]
+    got = {}
+    for r in search.search_all(df, spark.createDataFrame(asked, "query_id long, query string"), 7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.id, r.name))
+    for i, q in asked:
+        want = [] if q is None else [(r["rank"], r.score, r.id, r.name) for r in search.search(df, q, 7).collect()]
+        assert sorted(got.get(i, [])) == sorted(want), q
+
+
+def test_site_closure_refuses_an_empty_comparison(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    page, part = frame([("m.html",)], "page string"), frame([("m.html", "anchor", "x"), ("m.html", "decl", "x")], "page string, kind string, value string")
+    modules, names = frame([(0, "M", "m.html")], "id long, module string, page string"), frame([("x", "M")], "name string, module string")
+    index_, pairs = frame([("x", 0, 0)], "name string, module_id long, kind_id long"), frame([("C", "x")], "key string, name string")
+    checks.closed(*checks.site_closure(page, part, modules, index_, 1, names, pairs, pairs))
+    with pytest.raises(AssertionError, match="nothing was compared: instances$"):
+        checks.closed(*checks.site_closure(page, part, modules, index_, 1, names, pairs.limit(0), pairs))
+    with pytest.raises(AssertionError, match="kinds resolve"):
+        checks.closed(*checks.site_closure(page, part, modules, index_, 0, names, pairs, pairs))

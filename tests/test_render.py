@@ -52,6 +52,6 @@ def test_columns_and_pages(spark, tmp_path):
     page = r.pages(items).first()
     assert page.html.index("N.html") < page.html.index("A.html") < page.html.index("x</main>") and "y</main>" not in page.html
     assert r.write_pages(r.pages(items).select(F.lit("a/M.html").alias("path"), "html"), str(tmp_path)) == 1
-    assert r.prune_pages(str(tmp_path), ["a/M.html", "none.html"]) == 1 and not (tmp_path / "a").exists()
-    with pytest.raises(ValueError):
-        r.prune_pages(str(tmp_path), ["../x"])
+    assert r.prune_pages(str(tmp_path), spark.createDataFrame([("a/M.html",), ("none.html",)], "path string")) == 1 and not (tmp_path / "a").exists()
+    with pytest.raises(Exception, match="outside"):
+        r.prune_pages(str(tmp_path), spark.createDataFrame([("../x",)], "path string"))

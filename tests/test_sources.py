@@ -7,7 +7,7 @@ import urllib.request
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import search, snapshot
+from fathom.operators import order, search, snapshot
 from fathom.sources import ir, serve, sinks
 
 
@@ -202,3 +202,48 @@ def test_server_and_download(tmp_path):
             assert error.value.code == 404 and error.value.read() == b"none here"
     with pytest.raises(ValueError):
         ir.download("file:///etc/passwd", str(tmp_path / "x"))
+
+
+def test_link_map_over_splits(spark, tmp_path):
+    """A file of many splits: an entry takes the last header, however many splits before."""
+    lines, want = [], {}
+    for m in range(6):
+        lines.append(f"M{m}")
+        for i in range(3000 if m == 2 else 40):
+            name = f"n{m}.{i}" if i % 7 else f"same{i}"
+            lines.append(f"\t{name}\t{i}")
+            want[name] = (f"M{m}", i)
+        lines.append("# a comment" if m % 2 else f"@E{m}")
+    (tmp_path / "a.lidx").write_text("\r\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows, modules = ir.link_map(spark, str(tmp_path / "a.lidx"))
+        assert spark.read.text(str(tmp_path / "a.lidx")).rdd.getNumPartitions() > 10
+        assert {r.name: (r.module, r.line_from) for r in rows.collect()} == want
+        assert {r.module for r in modules.collect()} == {f"M{m}" for m in range(6)} | {"E0", "E2", "E4"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_page_parts(spark, tmp_path):
+    html = """<!-- <a href="no"> --><SECTION Class='x decl' ID=a&lt;b><a title="it's > this" href='p.html#a'>t</a><a id=z>no link</a></section>
+<script src="//h/x.js">'<p id="no">'</script><style><p id=no></style><img src=i.png alt=">"><link rel=x href="https://h/s.css"><section id="plain" class="declared"><p data-id="no" id="">"""
+    (tmp_path / "d e").mkdir()
+    (tmp_path / "d e" / "p.html").write_text(html)
+    (tmp_path / "x.txt").write_text(html)
+    got = sorted(tuple(r) for r in ir.page_parts(ir.html_files(spark, str(tmp_path))).collect())
+    want = [("anchor", ""), ("anchor", "a<b"), ("anchor", "plain"), ("anchor", "z"), ("decl", "a<b"), ("href", "p.html#a"), ("resource", "//h/x.js"), ("resource", "https://h/s.css"), ("resource", "i.png")]
+    assert got == [("d e/p.html", *w) for w in want]
+
+
+def test_plain_files_refuse_other_file_systems(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a", "x")], "path string, body string")
+    for root in ("hdfs://nn/ck", "s3a://b/c"):
+        with pytest.raises(ValueError, match="only a plain path"):
+            sinks.write_files(rows, root)
+    assert [tuple(r) for r in sinks.write_files(rows, f"file://{tmp_path}/out").collect()] == [("a", 1, "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881")]
+    assert (tmp_path / "out" / "a").read_text() == "x"
+    monkeypatch.setattr(order, "_shared", lambda spark: "hdfs://nn/ck")
+    with pytest.raises(ValueError, match="only to a plain path"):
+        order.scratch(spark)
