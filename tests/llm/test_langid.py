@@ -134,3 +134,20 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert kept.where("doc_id < 0").isEmpty()
     clean = docs.where(F.length("text") > 0)
     assert kept.count() >= clean.count() - 3
+
+
+def test_wrong_answers_score_lower(spark):
+    """Pieces of one to three words of held-out texts: the mean score is near the share of right answers, and wrong ones have less."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.learn(docs.where(~held))
+    pieces = []
+    for r in docs.where(held & F.col("lang").isNotNull()).select("text", "lang").collect():
+        words = (r.text or "").split()
+        pieces += [(" ".join(words[i : i + 1 + i % 3]).encode(), r.lang) for i in range(0, min(len(words), 60), 7)]
+    found, scores, _ = langid.score(model, [t for t, _ in pieces])
+    known = [(f == want, s) for f, s, (_, want) in zip(found, scores, pieces, strict=True) if f != "und"]
+    right, wrong = ([s for ok, s in known if ok is kind] for kind in (True, False))
+    mean = lambda x: sum(x) / len(x)
+    assert len(wrong) > 5 and mean(wrong) < mean(right) - 0.15
+    assert abs(mean([s for _, s in known]) - len(right) / len(known)) < 0.05
