@@ -8,14 +8,14 @@ arc of weight K / (c + K) leads from a pair to its last word and from a word to
 carried along, and the logarithms of the weights of the arcs taken are summed.
 
 Scale.  The model grows with the corpus and is never in one place.  Texts are packed into blocks of about BLOCK_BYTES (a longer text is continued in further
-blocks, its last two words repeated), written once.  A block sends its distinct n-grams, as sorted 64-bit hashes with their counts, packed, to buckets by
+blocks, its last two words repeated), written once.  A block sends its distinct n-grams, as sorted hashes (61 bits for words, 56 for pairs and triples) with their counts, packed, to buckets by
 ranges of hashes; a bucket adds up all blocks and sends back only the totals, in the order it got the hashes.  So a block gets exactly the part of the
 automaton that its texts can reach, and each n-gram is sent once a block at most: a word that is everywhere is one entry of each block, not a hot key.
 Buckets are as many as BUCKET_BYTES of text asks for.  A block's texts are read abreast, in runs of RUN tokens that begin two tokens early, after which
 their state is right.  Three sums (tokens, kinds, texts) reach the driver.
 
 Defined results.  A null text is an empty one: its only token is the end.  A null doc_id is not held out; repeated rows learn and are scored each.  Without training texts
-every token has probability one.  Two different n-grams with one 64-bit hash would be taken for equal.
+every token has probability one.  Two different n-grams with one hash would be taken for equal.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ class Tokens:
         seq[start] = _START
         one, two, three = (np.flatnonzero(x).astype(np.int32) for x in (~start, nth >= 1, nth >= 2))
         del nth
-        tag = lambda x, n: (x & ~np.uint64(7)) | np.uint64(2 * n)
+        tag = lambda x, n: (x & ~np.uint64(0xFF if n else 7)) | np.uint64(2 * n)
         with np.errstate(over="ignore"):
             pair = seq[two - 1] * _A + seq[two]
             triple = (seq[three - 2] * _A + seq[three - 1]) * _A + seq[three]
