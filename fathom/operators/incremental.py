@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fathom.operators import graph, snapshot
 from fathom.operators.order import cut
-from fathom.sources.versions import Store
+from fathom.sources.versions import Store, at_once
 
 #: What an extraction gives of each module; ``owner`` is the module that declared ``name`` then.
 EXTRACTED = {
@@ -34,13 +34,17 @@ ROUNDS = 5
 
 @dataclass
 class World:
-    """What a build reads: ``listed`` (module, hash), functions of chosen modules (module), and the two sets of configuration keys."""
+    """What a build reads: ``listed`` (module, hash), functions of chosen modules (module), and the two sets of configuration keys.
+
+    ``link_map`` gives the digest of the map of other packages that pages link into; an extraction may write it anew.
+    """
 
     listed: DataFrame
     extract: Callable[[DataFrame], dict[str, DataFrame]]
     render: Callable[[DataFrame, dict[str, DataFrame], DataFrame], DataFrame]
     extract_keys: dict[str, str | None] = field(default_factory=dict)
     render_keys: dict[str, str | None] = field(default_factory=dict)
+    link_map: Callable[[], str | None] = lambda: None
 
 
 @dataclass
@@ -69,10 +73,13 @@ def run(store: Store, world: World, mode: str = "self", rounds: int = ROUNDS) ->
     spark, manifest = store.spark, store.manifest()
     base = {name: store.table(name, schema, manifest) for name, schema in EXTRACTED.items()}
 
-    # detect
-    keys = snapshot.key_sets(spark, world.extract_keys, world.render_keys)
+    # detect; a link map that somebody else changed is a moved key, one that this run changes is seen after the rounds
+    linked = world.link_map()
+    render_keys = world.render_keys | {"linkMap": linked}
+    keys = snapshot.key_sets(spark, world.extract_keys, render_keys)
     known = spark.createDataFrame([tuple(x) for x in manifest["notes"].get("keys", [])], keys.schema)
-    moved_scopes = {r[0] for r in snapshot.moved_keys(known, keys).select("scope").distinct().collect()}  # two at most
+    moved = snapshot.moved_keys(known, keys)
+    moved_scopes = {r[0] for r in moved.select("scope").distinct().collect()}  # two at most
     states = cut(snapshot.detect(store.table("ledger", LEDGER, manifest), world.listed, "module", "hash"))
     seen = [cut(snapshot.stale(states, "module", F.lit(snapshot.EXTRACT in moved_scopes)))]
     removed = states.where("state = 'removed'").select("module")
@@ -91,8 +98,8 @@ def run(store: Store, world: World, mode: str = "self", rounds: int = ROUNDS) ->
     while n_now or (n_rounds == 0 and n_removed):
         n_rounds += 1
         if n_now:
-            for name, rows in world.extract(now).items():
-                fresh[name].append(cut(rows.select(*[c.split()[0] for c in EXTRACTED[name].split(", ")])))
+            for name, rows in at_once(lambda x: (x[0], cut(x[1].select(*[c.split()[0] for c in EXTRACTED[x[0]].split(", ")]))), world.extract(now).items()):
+                fresh[name].append(rows)
         gone = removed if n_rounds == 1 else removed.limit(0)
         mine = now.unionByName(gone)
         before = base["declarations"].join(mine, "module", "left_semi")
@@ -127,14 +134,15 @@ def run(store: Store, world: World, mode: str = "self", rounds: int = ROUNDS) ->
 
     # escalate, impact, render
     every = world.listed.where("hash is not null").select(F.col("module").alias("node"))
-    chosen_mode = "all" if snapshot.RENDER in moved_scopes else mode
+    linked_now = world.link_map()
+    chosen_mode = snapshot.render_mode(moved, linked_now != linked, mode)
     edges = tables["imports"].select(F.col("module").alias("src"), F.col("target").alias("dst"))
     users = tables["references"].select(F.col("module").alias("src"), F.col("owner").alias("dst"))
     near = graph.impact(taken.withColumnRenamed("module", "node"), edges, users, every, chosen_mode).withColumnRenamed("node", "module")
     chosen = cut(near.unionByName(from_names.join(every.withColumnRenamed("node", "module"), "module", "left_semi")).distinct())
     n_rendered = chosen.count()
     done = Run(None, n_rounds, n_changed, n_removed, n_stale, n_names, n_rendered, chosen_mode)
-    notes = {"keys": sorted([scope, k, v] for scope, own in ((snapshot.EXTRACT, world.extract_keys), (snapshot.RENDER, world.render_keys)) for k, v in own.items() if v is not None)}
+    notes = {"keys": sorted([scope, k, v] for scope, own in ((snapshot.EXTRACT, world.extract_keys), (snapshot.RENDER, render_keys | {"linkMap": linked_now})) for k, v in own.items() if v is not None)}
     if not (n_changed or n_removed or n_rendered or moved_scopes):
         return done
 

@@ -297,6 +297,13 @@ def tree_totals(spark, d):
     return stats.tree_totals(mods, items.select(F.col("l_orderkey").alias("user"), F.col("l_partkey").alias("name")))
 
 
+@query("SELECT count(*) AS files, CAST(sum(o_orderkey) AS BIGINT) AS bytes FROM orders WHERE o_custkey % 3 = 1")
+def tree_sizes(spark, d):
+    """Files and bytes of the entries of an index."""
+    entries = table(spark, d, "orders").where("o_custkey % 3 = 1").select(F.col("o_orderkey").cast("long").alias("bytes"))
+    return stats.tree_bytes(entries)
+
+
 @query("""WITH r AS (SELECT l_orderkey AS declaration, l_suppkey % 20 AS short FROM lineitem), n AS (SELECT declaration, short, count(*) AS n FROM r GROUP BY 1, 2)
 SELECT declaration, count(*) FILTER (n > 1) AS collisions, count(*) FILTER (short = declaration % 20) AS shadowed FROM n GROUP BY 1""")
 def name_collisions(spark, d):

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,13 @@ class Files:
         return [x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory()] if fs.exists(path) else []
 
 
+def at_once(act: Callable[[Any], Any], items: Iterable[Any]) -> list:
+    """What ``act`` gives for each of a few items, whose Spark jobs run side by side."""
+    items = list(items)
+    with ThreadPoolExecutor(max(1, len(items))) as pool:
+        return list(pool.map(act, items))
+
+
 def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
@@ -93,10 +102,15 @@ class Store:
         """A new version: ``manifest`` with the given buckets of some tables anew; ``changed``: (rows of these buckets, the buckets)."""
         version = f"{int(self.current().split('-')[0]) + 1 if self.current() else 1:08d}-{uuid.uuid4().hex[:8]}"
         tables = dict(manifest["tables"])
-        for name, (rows, buckets) in changed.items():
-            dealt = rows.withColumn("_bucket", bucket_of(F.col(self.key), self.buckets))
+
+        def write(item: tuple[str, tuple[DataFrame, list[int]]]) -> None:
+            name, (rows, buckets) = item
             if buckets:
+                dealt = rows.withColumn("_bucket", bucket_of(F.col(self.key), self.buckets))
                 dealt.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.files.root}/data/{name}/{version}")
+
+        at_once(write, changed.items())
+        for name, (rows, buckets) in changed.items():
             written = {x.removeprefix("_bucket="): version for x in self.files.folders(f"data/{name}/{version}") if x.startswith("_bucket=")}
             before = tables.get(name, {"buckets": {}})["buckets"]
             kept = {b: v for b, v in before.items() if int(b) not in buckets}

@@ -150,3 +150,25 @@ def test_untouched_buckets_are_shared(spark, tmp_path):
     inc.run(store, world_of(spark, source | {"M7": (["n7"], ["n3"], [], [])})[0])
     held = store.manifest()["tables"]["references"]["buckets"]
     assert sum(v != first for v in held.values()) == 1 and len(held) > 8
+
+
+def test_a_link_map_that_moves_renders_everything(spark, tmp_path):
+    """Moved by somebody else, and by the run's own extraction; the next run has nothing to do."""
+    store = Store(spark, f"file://{tmp_path}/live", buckets=4)
+    now = ["m1"]
+
+    def world(source):
+        out, _ = world_of(spark, source)
+        out.link_map = lambda: now[0]
+        return out
+
+    inc.run(store, world(BASE))
+    now[0] = "m2"
+    done = inc.run(store, world(BASE))
+    assert (done.changed, done.mode, done.rendered) == (0, "all", 5)
+    changed = world(BASE | {"Pkg.B": (["B.h"], [], [], [])})
+    extract = changed.extract
+    changed.extract = lambda chosen: now.__setitem__(0, "m3") or extract(chosen)
+    done = inc.run(store, changed)
+    assert (done.changed, done.mode, done.rendered) == (1, "all", 5)
+    assert inc.run(store, world(BASE | {"Pkg.B": (["B.h"], [], [], [])})).version is None
