@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from fathom.plans import files, library  # noqa: F401  they add their queries to the catalog
+from fathom.plans import builds, files, library  # noqa: F401  they add their queries to the catalog
 from fathom.plans.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
