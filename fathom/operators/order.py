@@ -21,6 +21,15 @@ def _shared(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Let no plan rely on how the parts of a union are dealt.
+
+    Spark 4.1 leaves out the shuffle after a union whose parts are dealt alike.  If one part is planned anew while the query runs (a join that becomes a
+    broadcast), the union isn't dealt any more, but the shuffle stays left out: a join above it fails ("Can't zip RDDs with unequal numbers of partitions").
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """End the lineage: write ``df`` as Parquet below the shared folder and read it back."""
     return cut_at(df)[0]

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathom.operators.order import plain_unions
+
 POINTER = "CURRENT"
 BUCKETS = 64
 
@@ -77,6 +79,7 @@ class Store:
     """Versions of some tables that all have the column ``key``."""
 
     def __init__(self, spark: SparkSession, root: str, key: str = "module", buckets: int = BUCKETS):
+        plain_unions(spark)  # what a version merges is grouped and joined
         self.spark, self.files, self.key, self.buckets = spark, Files(spark, root), key, buckets
 
     def current(self) -> str | None:

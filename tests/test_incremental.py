@@ -172,3 +172,39 @@ def test_a_link_map_that_moves_renders_everything(spark, tmp_path):
     done = inc.run(store, changed)
     assert (done.changed, done.mode, done.rendered) == (1, "all", 5)
     assert inc.run(store, world(BASE | {"Pkg.B": (["B.h"], [], [], [])})).version is None
+
+
+def test_merged_tables_whose_joins_are_planned_anew(spark, tmp_path):
+    """Tables so large that a join is planned as a merge and becomes a broadcast as it runs, in one part of a union and not in another."""
+    n, modules = 40000, 1000
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "200k", "spark.sql.unionOutputPartitioning": "true"}
+    before = {k: spark.conf.get(k) for k in settings}
+
+    def world(moved):
+        p = spark.range(n).withColumnRenamed("id", "p")
+        at = F.when(F.col("p") % 40 == 7, (F.col("p") + 3) % modules).otherwise(F.col("p") % modules) if moved else F.col("p") % modules
+        declared = p.select(F.concat(F.lit("M"), at).alias("module"), F.col("p").cast("string").alias("name"))
+        uses = spark.range(3 * n).select(F.concat(F.lit("M"), F.col("id") % modules).alias("module"), (F.col("id") * 7 % n).cast("string").alias("name")).distinct()
+        mods = spark.range(modules).select(F.concat(F.lit("M"), "id").alias("module"))
+        hashes = declared.groupBy("module").agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list("name"))), 256).alias("hash"))
+        rows = {
+            "declarations": declared,
+            "references": uses.join(declared.withColumnRenamed("module", "owner"), "name", "left"),
+            "imports": mods.select("module", F.lit("M0").alias("target")),
+            "tokens": p.where("p % 3 = 0").select(F.concat(F.lit("M"), (F.col("p") + 1) % modules).alias("module"), F.col("p").alias("ord"), F.col("p").cast("string").alias("name")),
+        }
+        listed = mods.join(hashes, "module", "left").select("module", F.coalesce("hash", F.lit("none")).alias("hash"))
+        return inc.World(listed, lambda chosen: {k: x.join(chosen, "module", "left_semi") for k, x in rows.items()}, render, {"schema": "1"})
+
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        live, anew = Store(spark, f"file://{tmp_path}/live", buckets=4), Store(spark, f"file://{tmp_path}/anew", buckets=4)
+        inc.run(live, world(False))
+        done = inc.run(live, world(True))
+        inc.run(anew, world(True))
+        assert done.rounds == 2 and done.stale > 0 and done.from_names > 0
+        assert inc.verify(live, anew, "pages", ["page"]).count() == 0 and len(pages(live)) == modules
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
