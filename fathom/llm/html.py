@@ -1,16 +1,17 @@
 """HTML extraction by nearest-URL page differencing, after the page's own structure.
 
 A page is cut into lines (the texts of its blocks).  Lines inside menus, headers, footers, sidebars, notices, adverts,
-forms, scripts and reader comments go, by tag, role and class.  If the page marks its article (``article``, ``main``, or a
-class or id that says so), the lines inside it are the text.  If not, the page is differenced: pages are paired by URL path within
-their host, the lines of a page and of its pair are aligned by longest common subsequence, and shared lines are deleted.
+forms, scripts and reader comments go, by tag, role and class.  Every page is differenced: pages are paired by URL path within
+their host (marked ones with marked ones, the others with each other), the lines of a page and of its pair are aligned by longest common subsequence, and shared lines are deleted.  A check by structure follows on pages that
+mark their article (``article``, ``main``, or a class or id that says so): the text is all lines inside it, so shared ones that it holds come back, and what is around it goes.
 
-Differencing decides only for pages without a marked article.  Inside a marked one it would delete what the contract keeps (passages and
+So on a marked page the check has the last word.  Differencing alone would delete what the contract keeps (passages and
 license lines that neighbouring articles share), and it misses boilerplate that the nearest page words differently.
 
-Scale.  Each page is parsed once, in time proportional to its length; what is found is cut.  Only unmarked pages are paired: their keys (host, path) are sorted in ranges, neighbours
-across ranges are matched from one row a range, and each page meets the lines of one other page.  Pages of one host with the
-same lines share one place in the order, so copies get a pair that differs.  The alignment needs memory for one row of the
+Scale.  Each page is parsed twice, in time proportional to its length: for the hashes of its lines, of which the pairs are made, and for its text, so that no text is
+written but for the one join with what was shared.  Keys (host, path) are sorted in ranges, neighbours
+across ranges are matched from one row a range, and each page meets the hashes (64 bits) of the lines of one other page.  Pages of one host with the
+same lines share one place in the order, so copies get a pair that differs, and are differenced once.  The alignment needs memory for one row of the
 table of lengths (it divides the problem at the middle), whatever the number of lines.
 
 Defined results.  Null html is empty; an empty page has an empty text.  A page alone on its host, or all of whose
@@ -317,44 +318,59 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-_TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-_TEXT_SQL = "page_id long, url string, text string, n_chars long"
+_KEYS = pa.schema([("host", pa.string()), ("path", pa.string()), ("sig", pa.int64()), ("marks", pa.list_(pa.int64()))])
+_KEYS_SQL = "host string, path string, sig long, marks array<long>"
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("sig", pa.int64()), ("lines", pa.list_(pa.string())), ("inside", pa.list_(pa.bool_()))])
+_PARSED_SQL = "page_id long, url string, host string, sig long, lines array<string>, inside array<boolean>"
+_SHARED = pa.schema([("host", pa.string()), ("sig", pa.int64()), ("shared", pa.list_(pa.int32()))])
+_SHARED_SQL = "host string, sig long, shared array<int>"
 
 
-def _texts(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
-    ids, urls, texts = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=_TEXT)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("host", pa.string()), ("path", pa.string()), ("sig", pa.int64()), ("lines", pa.list_(pa.string()))])
-_PARSED_SQL = "page_id long, url string, text string, host string, path string, sig long, lines array<string>"
+def _group(url: str | None, inside: list[bool]) -> str:
+    """Pages are paired within a group: those of a host that mark an article, and those that don't (no host holds a #)."""
+    return split_url(url)[0] + "#" * any(inside)
+
+
+def _sig(text: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest("\n".join(text)) - (1 << 63)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Group, path and hashes of the lines of each page that has any."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 500):
+            rows = []
+            for url, page in zip(*(c.to_pylist() for c in batch.slice(a, 500).columns), strict=True):
+                if found := lines(page or ""):
+                    text = [t for t, _ in found]
+                    rows.append((_group(url, [z == _MAIN for _, z in found]), split_url(url)[1], _sig(text), [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in text]))
+            if rows:
+                yield _batch(rows, _KEYS)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages with a marked article, and pages without any line, have their text; the others host, path and lines."""
+    """Each page's group and lines, and which of them its marked article holds (null: it marks none)."""
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             rows = []
             for page_id, url, page in zip(*(c.to_pylist() for c in batch.slice(a, 500).columns), strict=True):
                 found = lines(page or "")
-                if not found or any(z == _MAIN for _, z in found):
-                    rows.append((page_id, url, "\n\n".join(t for t, z in found if z == _MAIN), None, None, None, None))
-                else:
-                    text = [t for t, _ in found]
-                    rows.append((page_id, url, None, *split_url(url), xxhash.xxh3_64_intdigest("\n".join(text)) - (1 << 63), text))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PARSED, strict=True)], schema=_PARSED)
+                text, inside = [t for t, _ in found], [z == _MAIN for _, z in found]
+                rows.append((page_id, url, _group(url, inside), _sig(text), text, inside if any(inside) else None))
+            yield _batch(rows, _PARSED)
 
 
-def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of the lines that a page and its pair have in common."""
     for batch in batches:
-        rows = []
-        for page_id, url, own, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            shared = common(own, other) if other else set()
-            if len(shared) == len(own):
-                shared = set()
-            rows.append((page_id, url, "\n\n".join(t for i, t in enumerate(own) if i not in shared)))
-        if rows:
-            yield _texts(rows)
+        for a in range(0, batch.num_rows, 500):
+            rows = [(host, sig, sorted(common(own, other))) for host, sig, own, other in zip(*(c.to_pylist() for c in batch.slice(a, 500).columns), strict=True)]
+            if rows:
+                yield _batch(rows, _SHARED)
 
 
 def pairs(keys: DataFrame) -> DataFrame:
@@ -380,16 +396,19 @@ def pairs(keys: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each row of ``pages`` (page_id, url, html)."""
-    parsed = cut(pages.select("page_id", "url", "html").mapInArrow(_parsed, _PARSED_SQL))
-    known = parsed.where("text is not null").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-    rest = parsed.where("text is null").select("page_id", "url", "host", "path", "sig", "lines")
-    if rest.isEmpty():
-        return known
-    paired = rest.join(pairs(rest.select("host", "path", "sig")), ["host", "sig"], "left")
-    others = rest.groupBy("host", "sig").agg(F.first("lines").alias("others")).withColumnRenamed("sig", "other")
-    paired = paired.join(others, ["host", "other"], "left").select("page_id", "url", "lines", "others")
-    return known.unionByName(paired.mapInArrow(_differenced, _TEXT_SQL))
+    """page_id, url, text, n_chars, n_lines, n_shared of each row of ``pages`` (page_id, url, html); n_shared: lines in common with the paired page."""
+    keys = cut(pages.select("url", "html").mapInArrow(_keys, _KEYS_SQL))
+    own = keys.groupBy("host", "sig").agg(F.first("marks").alias("marks"))
+    others = own.select("host", F.col("sig").alias("other"), F.col("marks").alias("others"))
+    paired = own.join(pairs(keys.select("host", "path", "sig")).where("other is not null"), ["host", "sig"]).join(others, ["host", "other"])
+    shared = cut(paired.select("host", "sig", "marks", "others").mapInArrow(_shared, _SHARED_SQL))
+    rows = pages.select("page_id", "url", "html").mapInArrow(_parsed, _PARSED_SQL).join(shared, ["host", "sig"], "left")
+    rows = rows.withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
+    # differencing deletes what is shared; the check by structure brings back what the marked article holds, and drops what is around it
+    deleted = F.when(F.size("shared") < F.size("lines"), F.col("shared")).otherwise(F.array().cast("array<int>"))
+    kept = F.filter("lines", lambda t, i: F.coalesce(F.get("inside", i), ~F.array_contains("deleted", i)))
+    rows = rows.withColumn("deleted", deleted).withColumn("text", F.array_join(kept, "\n\n"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size("lines").cast("long").alias("n_lines"), F.size("shared").cast("long").alias("n_shared"))
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,3 +192,11 @@ def test_texts_of_a_whole_table(spark):
             assert got[r.page_id] == "\n\n".join(x for x in blocks if x)
             plain += 1
     assert plain > 0.9 * len(pages)
+
+
+def test_marked_pages_are_differenced_too(spark):
+    """Shared lines are found on every page; the article brings its own back, as a page's text and in its counts."""
+    page = lambda own: f"<p>top</p><article><p>{own}</p><p>license</p></article><p>foot</p>"
+    rows = [(1, "http://h.org/a/1", page("x")), (2, "http://h.org/a/2", page("y")), (3, "http://h.org/b", "<p>top</p><p>z</p>"), (6, "http://h.org/c", "<p>top</p><p>x</p>"), (4, "http://other.org/", page("x")), (5, None, None)]
+    got = {r.page_id: (r.text, r.n_lines, r.n_shared) for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("x\n\nlicense", 4, 3), 2: ("y\n\nlicense", 4, 3), 3: ("z", 2, 1), 6: ("x", 2, 1), 4: ("x\n\nlicense", 4, 0), 5: ("", 0, 0)}
