@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.names import utf16_key
-from fathom.operators.order import cut, numbered
+from fathom.operators.order import cut, dealt, numbered
 
 
 def sorted_set(values: Column) -> Column:
@@ -36,8 +36,8 @@ def used_by(refs: DataFrame, declared: DataFrame, target: str, user: str) -> Dat
 
 
 def used_by_counts(refs: DataFrame, declared: DataFrame, target: str, user: str) -> DataFrame:
-    pairs = refs.select(target, user).distinct().join(declared.select(target).distinct(), target, "left_semi")
-    return pairs.groupBy(target).agg(F.count(user).alias("n")).agg(F.count("*").alias("targets"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))
+    users = dealt(refs.select(target, user), target, user).distinct().groupBy(target).agg(F.count(user).alias("n"))
+    return users.join(declared.select(target).distinct(), target, "left_semi").agg(F.count("*").alias("targets"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))
 
 
 def imported_by(nodes: DataFrame, edges: DataFrame, node: str, source: str, target: str) -> DataFrame:

@@ -42,6 +42,11 @@ def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` into as many partitions as the session has for shuffles, which Spark doesn't merge; so what a task holds doesn't depend on how few are busy."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared one, as a path that both Spark and plain files know; a shared folder in another file system is refused."""
     path = re.sub(r"^file:/+", "/", f"{_shared(spark)}/files-{uuid.uuid4().hex}")

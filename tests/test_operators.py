@@ -272,3 +272,11 @@ def test_site_closure_refuses_an_empty_comparison(spark):
         checks.closed(*checks.site_closure(page, part, modules, index_, 1, names, pairs.limit(0), pairs))
     with pytest.raises(AssertionError, match="kinds resolve"):
         checks.closed(*checks.site_closure(page, part, modules, index_, 0, names, pairs, pairs))
+
+
+def test_counted_pairs_are_dealt_into_all_partitions(spark):
+    """What a task holds must not grow with how few partitions Spark merges shuffles into."""
+    refs = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (3, 1), (None, 1), (2, None)], "t long, u long")
+    got = index.used_by_counts(refs, spark.createDataFrame([(1,), (2,), (2,), (None,), (9,)], "t long"), "t", "u")
+    assert [tuple(r) for r in got.collect()] == [(2, 3)]
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
