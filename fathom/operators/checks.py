@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.operators.order import dealt
+
 
 def both_ways(a: DataFrame, b: DataFrame, keys: list[str], names: tuple[str, str] = ("left", "right")) -> DataFrame:
     """Keys of only one side, with the side."""
-    x, y = a.select(*keys).distinct(), b.select(*keys).distinct()
+    x, y = dealt(a.select(*keys), *keys).distinct(), dealt(b.select(*keys), *keys).distinct()
     only_a = x.join(y, keys, "left_anti").withColumn("side", F.lit(names[0]))
     return only_a.unionByName(y.join(x, keys, "left_anti").withColumn("side", F.lit(names[1])))
 

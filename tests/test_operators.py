@@ -280,3 +280,10 @@ def test_counted_pairs_are_dealt_into_all_partitions(spark):
     got = index.used_by_counts(refs, spark.createDataFrame([(1,), (2,), (2,), (None,), (9,)], "t long"), "t", "u")
     assert [tuple(r) for r in got.collect()] == [(2, 3)]
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_both_sides_are_dealt_into_all_partitions(spark):
+    keys = lambda *x: spark.createDataFrame([(k,) for k in x], "k long")
+    got = checks.both_ways(keys(1, 1, 2, None), keys(2, 3, 3, None), ["k"], ("a", "b"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a"), (None, "a"), (3, "b"), (None, "b")], key=str)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
