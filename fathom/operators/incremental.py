@@ -5,7 +5,8 @@ the tables as they were before the merge, and merge; then drop the pages of remo
 render everything if an input of all pages moved, else the changed modules (widened by the mode) and those pages; commit.
 
 Tables are those of a ``versions.Store``.  A run reads and writes only the buckets of the modules it touches, but for two semi-joins over all references and
-tokens with the names that moved.  Each round's rows are written once and read back, so no round repeats another's work.  Only counts, keys of
+tokens with the names that moved; these are the names of pairs (module, name) that a round lost or gained, so a round that moved none reads no reference.
+Each round's rows are written once, as a part of the next version, and all that follows reads them there.  Only counts, keys of
 configuration and numbers of buckets reach the driver.  A run that dies leaves the last version; the next run does its work again.
 """
 
@@ -86,8 +87,9 @@ def run(store: Store, world: World, mode: str = "self", rounds: int = ROUNDS) ->
     n_changed, n_removed = seen[0].count(), removed.count()
 
     # rounds of extract, ownership, merge
-    fresh: dict[str, list[DataFrame]] = {name: [] for name in EXTRACTED}
+    version, known_names = store.fresh(), bool(manifest["tables"])
     now, n_rounds, n_stale, n_now = seen[0], 0, 0, n_changed
+    differing: list[DataFrame] = []
 
     def all_seen() -> DataFrame:
         out = seen[0]
@@ -98,14 +100,19 @@ def run(store: Store, world: World, mode: str = "self", rounds: int = ROUNDS) ->
     while n_now or (n_rounds == 0 and n_removed):
         n_rounds += 1
         if n_now:
-            for name, rows in at_once(lambda x: (x[0], cut(x[1].select(*[c.split()[0] for c in EXTRACTED[x[0]].split(", ")]))), world.extract(now).items()):
-                fresh[name].append(rows)
-        gone = removed if n_rounds == 1 else removed.limit(0)
-        mine = now.unionByName(gone)
-        before = base["declarations"].join(mine, "module", "left_semi")
-        after = fresh["declarations"][-1] if n_now else before.limit(0)
-        refs = base["references"].select(F.col("module").alias("user"), F.col("owner").alias("module"), "name")
-        away = snapshot.ownership(before, after, refs, all_seen().unionByName(removed).withColumnRenamed("module", "user"))
+            store.add(version, {name: (rows, EXTRACTED[name]) for name, rows in world.extract(now).items()})
+        if not known_names:  # a first build: nothing refers to what moved
+            break
+        before = base["declarations"].join(now.unionByName(removed) if n_rounds == 1 else now, "module", "left_semi")
+        so_far = store.merged({"tables": {}}, version, {"declarations": (EXTRACTED["declarations"], [])})
+        after = store.table("declarations", EXTRACTED["declarations"], so_far).join(now, "module", "left_semi")
+        lost, gained = at_once(cut, snapshot.lost_and_gained(before, after, "module", "name"))
+        differ = cut(lost.unionByName(gained).select("name").distinct())
+        if differ.isEmpty():
+            break
+        differing.append(differ)
+        refs = base["references"].join(differ, "name", "left_semi").select(F.col("module").alias("user"), F.col("owner").alias("module"), "name")
+        away = snapshot.stale_users(lost, gained, refs, all_seen().unionByName(removed).withColumnRenamed("module", "user"))
         now = cut(away.select(F.col("user").alias("module")).distinct())
         n_now = now.count()
         n_stale += n_now
@@ -116,21 +123,26 @@ def run(store: Store, world: World, mode: str = "self", rounds: int = ROUNDS) ->
     taken = cut(all_seen().distinct()) if len(seen) > 1 else seen[0]
     touched = taken.unionByName(removed)
 
-    def merged(name: str, old: DataFrame, new: list[DataFrame]) -> DataFrame:
-        out = old.join(touched, "module", "left_anti")
-        for rows in new:
-            out = out.unionByName(rows.select(out.columns))
-        return out
-
-    tables = {name: merged(name, base[name], fresh[name]) for name in EXTRACTED}
-
-    # names that moved, over the whole corpus
-    was = base["declarations"].join(touched, "module", "left_semi").select("name")
-    names = was.unionByName(tables["declarations"].join(taken, "module", "left_semi").select("name")).distinct()
-    of = lambda decls: owners(decls.join(names, "name", "left_semi"))
-    elsewhere = snapshot.key_diff(of(base["declarations"]), of(tables["declarations"]), "name", "owner")
-    from_names = cut(snapshot.delta(elsewhere, tables["tokens"], "name", "module", "ord").select("module"))
-    n_names = from_names.count() if manifest["tables"] else 0
+    # the rows that stay in buckets of what was touched; a bucket whose modules were all touched has none
+    buckets = store.touched(touched)
+    part = lambda name, schema, only: store.table(name, schema, manifest, only)
+    staying = store.touched(part("ledger", LEDGER, buckets).join(touched, "module", "left_anti"))
+    if staying:
+        store.add(version, {name: (part(name, schema, staying).join(touched, "module", "left_anti"), schema) for name, schema in EXTRACTED.items()})
+    changes = {name: (schema, buckets) for name, schema in EXTRACTED.items()}
+    after_merge = store.merged(manifest, version, changes)
+    tables = {name: store.table(name, schema, after_merge) for name, schema in EXTRACTED.items()}
+
+    # names that moved, over the whole corpus: only one whose pairs differ can have another owner
+    from_names, n_names = taken.limit(0), 0
+    if differing:
+        names = differing[0]
+        for more in differing[1:]:
+            names = names.unionByName(more)
+        of = lambda decls: owners(decls.join(names.distinct(), "name", "left_semi"))
+        elsewhere = snapshot.key_diff(of(base["declarations"]), of(tables["declarations"]), "name", "owner")
+        from_names = cut(snapshot.delta(elsewhere, tables["tokens"], "name", "module", "ord").select("module"))
+        n_names = from_names.count()
 
     # escalate, impact, render
     every = world.listed.where("hash is not null").select(F.col("module").alias("node"))
@@ -147,17 +159,15 @@ def run(store: Store, world: World, mode: str = "self", rounds: int = ROUNDS) ->
         return done
 
     # commit: of each table only the buckets of what was touched
-    buckets = store.touched(touched)
     page_buckets = store.touched(chosen.unionByName(removed))
-    part = lambda name, schema, only: store.table(name, schema, manifest, only)
-    changes = {name: (merged(name, part(name, schema, buckets), fresh[name]), buckets) for name, schema in EXTRACTED.items()}
     hashes = world.listed.where("hash is not null").select("module", "hash").join(taken, "module", "left_semi")
-    changes["ledger"] = (merged("ledger", part("ledger", LEDGER, buckets), [hashes]), buckets)
+    ledger = part("ledger", LEDGER, buckets).join(touched, "module", "left_anti").unionByName(hashes)
     pages = part("pages", PAGES, page_buckets).join(chosen.unionByName(removed), "module", "left_anti")
     if n_rendered:
         pages = pages.unionByName(world.render(chosen, tables, owners(tables["declarations"])).select("module", "page"))
-    changes["pages"] = (pages, page_buckets)
-    done.version = store.commit(manifest, changes, notes)
+    store.add(version, {"ledger": (ledger, LEDGER), "pages": (pages, PAGES)})
+    changes |= {"ledger": (LEDGER, buckets), "pages": (PAGES, page_buckets)}
+    done.version = store.commit(store.merged(manifest, version, changes) | {"notes": notes}, version)
     return done
 
 
@@ -165,5 +175,3 @@ def verify(store: Store, full: Store, name: str, values: list[str]) -> DataFrame
     """Differences of a table between two stores, as ``snapshot.verify`` has them; empty where an incremental build equals a full one."""
     rows = [s.table(name, PAGES, s.manifest()) for s in (store, full)]
     return snapshot.verify(*rows, "module", values)
-
-

@@ -58,7 +58,11 @@ def ownership(base: DataFrame, fresh: DataFrame, refs: DataFrame, exclude: DataF
     A reference to a lost pair is `lost owner`; any other to a name that modules have gained, but not its owner, is
     `moved elsewhere`.  Users in ``exclude`` are never reported.
     """
-    lost, gained = lost_and_gained(base, fresh, owner, name)
+    return stale_users(*lost_and_gained(base, fresh, owner, name), refs, exclude, owner, name, user)
+
+
+def stale_users(lost: DataFrame, gained: DataFrame, refs: DataFrame, exclude: DataFrame, owner: str = "module", name: str = "name", user: str = "user") -> DataFrame:
+    """``ownership`` where the lost and gained pairs are known; references to names of neither can be left out."""
     movers = gained.groupBy(name).agg(F.collect_set(owner).alias("_owners"))
     marked = refs.select(user, owner, name).distinct().join(exclude.select(user).distinct(), user, "left_anti")
     marked = marked.join(lost.withColumn("_lost", F.lit(True)), [owner, name], "left").join(movers, name, "left")

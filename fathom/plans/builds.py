@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators import checks, incremental, snapshot
@@ -28,23 +28,36 @@ def _declared(d: str, spark: SparkSession, n: int, world: int) -> DataFrame:
     return rows.select(F.concat(F.lit("M"), "m").alias("module"), F.col("p").cast("string").alias("name"))
 
 
-def _world(spark: SparkSession, d: str, n: int, world: int, source: str) -> incremental.World:
+def _named(key: str, n: int) -> Column:
+    return F.concat(F.lit("M"), F.col(key) % n).alias("module")
+
+
+def _digests(rows: DataFrame, path: str) -> DataFrame:
+    """A digest of the file that holds a module's rows (module, name) of one kind."""
+    return rows.groupBy("module").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("name")), "\n"), 256).alias("digest")).withColumn("path", F.lit(path))
+
+
+def _sources(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is alike in all worlds: the users of each name, kept; the tokens, read where they are extracted; the digests of the modules' files of both, kept."""
+    lines = table(spark, d, "lineitem").where("l_partkey is not null").select(F.col("l_partkey").alias("p"), (F.col("l_suppkey") % n).alias("m")).repartition("p")  # few repeat on one side of a shuffle
+    users = cut(lines.groupBy("p").agg(F.collect_set("m").alias("users")).select(F.col("p").cast("string").alias("name"), "users"))
+    tokens = table(spark, d, "customer").select(_named("c_custkey", n), F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("name"))
+    uses = users.select(F.explode("users").alias("m"), "name").select(_named("m", n), "name")
+    return users, tokens, cut(_digests(uses, "references").unionByName(_digests(tokens, "tokens")))
+
+
+def _world(spark: SparkSession, d: str, n: int, world: int, source: str, sources: tuple[DataFrame, DataFrame, DataFrame]) -> incremental.World:
     mods = spark.range(n + (world == 3)).where("id % 10 <> 9" if world == 2 else f"id % 10 <> 9 or id = {n}" if world == 3 else "true")
     mods = mods.select(F.concat(F.lit("M"), "id").alias("module"))
-    named = lambda c: F.concat(F.lit("M"), F.col(c) % n).alias("module")
-    declared = _declared(d, spark, n, world)
-    lines = table(spark, d, "lineitem").select(named("l_suppkey"), F.col("l_partkey").cast("string").alias("name")).distinct()
+    declared, (users, tokens, digests) = _declared(d, spark, n, world), sources
+    owned = users.join(declared.select(F.col("module").alias("owner"), "name"), "name", "left")  # before the rows of each use are made
     rows = {
         "declarations": declared,
-        "references": lines.join(declared.withColumnRenamed("module", "owner"), "name", "left").withColumn("owner", F.coalesce("owner", F.lit("-"))),
+        "references": owned.select(F.explode("users").alias("m"), F.coalesce("owner", F.lit("-")).alias("owner"), "name").select(_named("m", n), "owner", "name"),
         "imports": mods.select("module", F.lit("M0").alias("target")),
-        "tokens": table(spark, d, "customer").select(named("c_custkey"), F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("name")),
+        "tokens": tokens,
     }
-    rows = {name: x.join(mods, "module", "left_semi") for name, x in rows.items()}
-    own = rows["declarations"].select("module", F.concat(F.lit("d "), "name").alias("line"))
-    own = own.unionByName(lines.join(mods, "module", "left_semi").select("module", F.concat(F.lit("r "), "name").alias("line")))
-    own = own.unionByName(rows["tokens"].select("module", F.concat(F.lit("t "), "name").alias("line")))
-    hashes = own.groupBy("module").agg(snapshot.digest_lines(F.col("line"), F.col("line")).alias("hash"))
+    hashes = snapshot.fingerprints(digests.unionByName(_digests(declared, "declarations")), "module", "path", "digest", "path")
     listed = cut(mods.join(hashes, "module", "left").select("module", F.coalesce("hash", F.lit("none")).alias("hash")))
     return incremental.World(listed, lambda chosen: {k: x.join(chosen, "module", "left_semi") for k, x in rows.items()}, _pages, {"schema": "1"}, {"source": source})
 
@@ -52,9 +65,9 @@ def _world(spark: SparkSession, d: str, n: int, world: int, source: str) -> incr
 def _pages(chosen: DataFrame, tables: dict[str, DataFrame], owners: DataFrame) -> DataFrame:
     mine = lambda name: tables[name].join(chosen, "module", "left_semi")
     lines = mine("declarations").select("module", F.concat(F.lit("d "), "name").alias("line"))
-    lines = lines.unionByName(mine("references").select("module", F.concat_ws(" ", F.lit("r"), "owner", "name").alias("line")))
+    lines = lines.unionByName(mine("references").select("module", F.concat(F.lit("r "), "owner", F.lit(" "), "name").alias("line")))
     lines = lines.unionByName(mine("tokens").join(owners, "name", "left").select("module", F.concat_ws(" ", F.lit("t"), "name", F.coalesce("owner", F.lit("-"))).alias("line")))
-    page = lines.groupBy("module").agg(F.md5(F.array_join(F.array_sort(F.collect_list("line")), "|")).alias("page"))
+    page = lines.groupBy("module").agg(F.md5(F.array_join(F.sort_array(F.collect_list("line")), "|")).alias("page"))
     return chosen.join(page, "module", "left").select("module", F.coalesce("page", F.md5(F.lit(""))).alias("page"))
 
 
@@ -69,9 +82,9 @@ SELECT state, module, page FROM pages JOIN (VALUES ('base', 0), ('rerun', 0), ('
 def incremental_states(spark, d):
     """The pages after each of seven builds, each from the last; the SQL builds every state anew."""
     n, out = table(spark, d, "supplier").count(), None
-    store = Store(spark, f"{scratch(spark)}-{uuid.uuid4().hex[:8]}", buckets=16)
+    store, sources = Store(spark, f"{scratch(spark)}-{uuid.uuid4().hex[:8]}", buckets=16), _sources(spark, d, n)
     for state, world in STATES.items():
-        incremental.run(store, _world(spark, d, n, world, "new" if state == "stale state" else "old"))
+        incremental.run(store, _world(spark, d, n, world, "new" if state == "stale state" else "old", sources))
         pages = store.table("pages", incremental.PAGES, store.manifest()).select(F.lit(state).alias("state"), "module", "page")
         out = pages if out is None else out.unionByName(pages)
     return out

@@ -101,23 +101,37 @@ class Store:
         """The buckets that hold some keys: at most ``buckets`` numbers."""
         return sorted(r[0] for r in keys.select(bucket_of(F.col(self.key), self.buckets)).distinct().collect())
 
-    def commit(self, manifest: dict, changed: dict[str, tuple[DataFrame, list[int]]], notes: dict) -> str:
-        """A new version: ``manifest`` with the given buckets of some tables anew; ``changed``: (rows of these buckets, the buckets)."""
-        version = f"{int(self.current().split('-')[0]) + 1 if self.current() else 1:08d}-{uuid.uuid4().hex[:8]}"
-        tables = dict(manifest["tables"])
+    def fresh(self) -> str:
+        """A name for the next version."""
+        return f"{int(self.current().split('-')[0]) + 1 if self.current() else 1:08d}-{uuid.uuid4().hex[:8]}"
+
+    def add(self, version: str, rows: dict[str, tuple[DataFrame, str]]) -> None:
+        """Write rows, {name: (rows, schema)}, of a version that isn't committed yet, tables side by side; they join those it has got before.
+
+        The rows of a bucket are dealt to as many tasks as the session's partitions allow, whole keys to each, and lie by key in their files.
+        """
+        deal = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
 
-        def write(item: tuple[str, tuple[DataFrame, list[int]]]) -> None:
-            name, (rows, buckets) = item
-            if buckets:
-                dealt = rows.withColumn("_bucket", bucket_of(F.col(self.key), self.buckets))
-                dealt.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.files.root}/data/{name}/{version}")
+        def write(item: tuple[str, tuple[DataFrame, str]]) -> None:
+            name, (own, schema) = item
+            typed = own.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(schema)], bucket_of(F.col(self.key), self.buckets).alias("_bucket"))
+            dealt = typed.repartition("_bucket", F.pmod(F.hash(self.key), F.lit(deal)))
+            dealt.sortWithinPartitions("_bucket", self.key).write.mode("append").partitionBy("_bucket").parquet(f"{self.files.root}/data/{name}/{version}")
 
-        at_once(write, changed.items())
-        for name, (rows, buckets) in changed.items():
+        at_once(write, rows.items())
+
+    def merged(self, manifest: dict, version: str, changed: dict[str, tuple[str, list[int]]]) -> dict:
+        """``manifest`` with some buckets of some tables, {name: (schema, buckets)}, as the version has them so far."""
+        tables = dict(manifest["tables"])
+        for name, (schema, buckets) in changed.items():
             written = {x.removeprefix("_bucket="): version for x in self.files.folders(f"data/{name}/{version}") if x.startswith("_bucket=")}
             before = tables.get(name, {"buckets": {}})["buckets"]
             kept = {b: v for b, v in before.items() if int(b) not in buckets}
-            tables[name] = {"schema": json.loads(rows.schema.json()), "buckets": kept | written}
-        self.files.put(f"manifests/{version}.json", json.dumps({"tables": tables, "notes": notes}))
+            tables[name] = {"schema": T.StructType.fromDDL(schema).jsonValue(), "buckets": kept | written}
+        return manifest | {"tables": tables}
+
+    def commit(self, manifest: dict, version: str) -> str:
+        """Make a version, whose rows are written, the current one."""
+        self.files.put(f"manifests/{version}.json", json.dumps(manifest))
         self.files.put(POINTER, version)
         return version

@@ -1,11 +1,14 @@
 """The incremental run against full builds of the same world."""
 
+import collections
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from fathom.operators import incremental as inc
+from fathom.plans import builds
 from fathom.sources.versions import POINTER, Store
 
 
@@ -208,3 +211,39 @@ def test_merged_tables_whose_joins_are_planned_anew(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_seven_builds_read_line_items_once(spark, monkeypatch):
+    """Line items are alike in all worlds; a module's hash moves only with what it declares."""
+    read, worlds, table = collections.Counter(), [], builds.table
+    monkeypatch.setattr(builds, "table", lambda spark, d, name: read.update([name]) or table(spark, d, name))
+    monkeypatch.setattr(inc, "run", lambda store, world, *_: worlds.append(world))
+    builds.incremental_states(spark, "/root/testdata/sf0.001")
+    assert read["lineitem"] == 1 and len(worlds) == 7
+    base, rerun, modified, removed = ({r.module: r.hash for r in w.listed.collect()} for w in worlds[:4])
+    declared = [{(r.module, r.name) for r in w.extract(w.listed.select("module"))["declarations"].collect()} for w in worlds[:3:2]]
+    moved = {m for m, _ in declared[0] ^ declared[1]}
+    assert base == rerun and moved and {m for m in base if base[m] != modified[m]} == moved
+    assert removed == {m: h for m, h in modified.items() if m in removed} and len(removed) < len(modified)
+
+
+def test_a_bucket_is_written_by_many_tasks(spark, tmp_path):
+    """Whole keys to each task, and rows added later join those before."""
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        store = Store(spark, f"file://{tmp_path}/live", buckets=2)
+        inc.run(store, world_of(spark, {f"M{i}": ([f"n{i}"], [f"n{(i + k) % 200}" for k in range(5)], [], []) for i in range(200)})[0])
+        rows = store.table("references", inc.EXTRACTED["references"], store.manifest())
+        files = rows.groupBy(F.input_file_name().alias("file")).count().collect()
+        assert rows.count() == 1000 and len(files) > 8
+        assert rows.select("module", F.input_file_name()).distinct().count() == 200
+        more = spark.createDataFrame([("M0", "M1", "again")], inc.EXTRACTED["references"])
+        store.add(store.current(), {"references": (more, inc.EXTRACTED["references"])})
+        assert store.table("references", inc.EXTRACTED["references"], store.manifest()).count() == 1001
+        assert len(os.listdir(f"{tmp_path}/live/data/references")) == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
